@@ -4,9 +4,10 @@ Shingles are tokens; hashed into GROUPS groups, a document is a point of group c
 whose nodes hold coordinate maxima; the sum of coordinate minima of a query and a node bounds the overlap with any
 document below. Pairs that survive are verified on the sets.
 
-Trees need documents that may match in one place. Two sets with similarity t or more share a token among the first
-n - ceil(t n) + 1 of either under any common order, so documents meet by those prefix tokens, very common ones ordered
-last. First every document that shares a prefix token goes with its set to one meeting (its least shared token); groups
+Trees need documents that may match in one place. Two sets with similarity t or more share at least c tokens among the
+first n - ceil(t n) + c of either under any common order. So documents meet by the tokens of their prefixes (c = 1), very
+common ones ordered last, and those that share fewer than c tokens with any others at c = 1 + n / 10 can have no
+partner. First every document that shares a prefix token goes with its set to one meeting (its least shared token); groups
 that grow beyond MEETING rows are salted and share a pivot. What links there is contracted. Then, for each prefix token
 at which documents of different contracted groups meet, a tree over points alone gives the pairs that are left. So no
 pair is lost and a group of n copies costs about n verifications. Equal sets are one document throughout."""
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keyfathom.llm.runs import components, key_runs
 from keyfathom.llm.storage import materialize
 from keyfathom.llm.textbytes import as_long, mix, pieces, utf8, words
 
-GROUPS = 32
+GROUPS = 128
 MEETING = 1000
 BUCKET = 4096
 LEAF = 16
@@ -98,7 +100,7 @@ class CountTree:
             else:
                 spots = (spots[:, None] * LEAF + np.arange(LEAF)).ravel()
                 spots = spots[spots < len(low)]
-            bound = np.minimum(top[spots], point).sum(axis=1)
+            bound = np.minimum(top[spots], point).sum(axis=1, dtype=np.int64)
             least = np.maximum(low[spots], -(-4 * size // 5))
             spots = spots[(9 * bound >= needed(size, least)) & (5 * high[spots] >= 4 * size) & (4 * low[spots] <= 5 * size)]
             if not len(spots):
@@ -108,7 +110,7 @@ class CountTree:
         else:
             spots = (spots[:, None] * LEAF + np.arange(LEAF)).ravel()
             spots = spots[spots < len(self.sizes)]
-        bound = np.minimum(self.points[spots], point).sum(axis=1)
+        bound = np.minimum(self.points[spots], point).sum(axis=1, dtype=np.int64)
         return spots[9 * bound >= needed(size, self.sizes[spots])]
 
 
@@ -138,7 +140,15 @@ def link(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> np.nd
 
 
 def counts(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Group counts of a set. One so large that a count could overflow gets the largest in all groups, a safe bound."""
+    if len(tokens) > 1 << 22:
+        return np.full(GROUPS, 65535, np.uint16)
+    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=GROUPS).clip(max=65535).astype(np.uint16)
+
+
+def prefix_length(n, extra):  # noqa: ANN001, ANN201
+    """Tokens in which two sets of similarity 0.8 share ``extra``, for a set of n."""
+    return n - (4 * n + 4) // 5 + extra
 
 
 def _common_tokens(docs: DataFrame) -> np.ndarray:
@@ -177,34 +187,34 @@ def _common_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, name, home) per row; points and prefix only for the first row of a set in its task."""
+    """(doc_id, home, n, name) per row; the prefix, its common tokens apart, only for the first row of a set in its task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            n, names, points, prefixes = [], [], [], []
+            n, names, rare, often = [], [], [], []
             for tokens in shingle_sets(batch.column(2)):
                 size = len(tokens)
                 n.append(size)
                 name = fingerprint(tokens) if size else None
                 names.append(name)
                 if name is None or name in seen:
-                    points.append(None)
-                    prefixes.append(None)
+                    rare.append(None)
+                    often.append(None)
                     continue
                 seen.add(name)
+                hot = np.zeros(size, bool)
                 if len(common):
                     at = np.searchsorted(common, tokens)
                     at[at == len(common)] = 0
                     hot = common[at] == tokens
-                    tokens_in_order = np.concatenate((tokens[~hot], tokens[hot]))
-                else:
-                    tokens_in_order = tokens
-                points.append(counts(tokens).tobytes())
-                prefixes.append(as_long(tokens_in_order[: size - (4 * size + 4) // 5 + 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "home", "n", "name", "point", "prefix"])
+                length = prefix_length(size, 1 + size // 10)
+                rare.append(as_long(tokens[~hot][:length]))
+                often.append(as_long(tokens[hot][: max(0, length - len(rare[-1]))]))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(rare, longs), pa.array(often, longs)], names=["doc_id", "home", "n", "name", "rare", "often"])
 
-    return docs.select("doc_id", "home", "text").mapInArrow(run, "doc_id long, home long, n long, name long, point binary, prefix array<long>")
+    return docs.select("doc_id", "home", "text").mapInArrow(run, "doc_id long, home long, n long, name long, rare array<long>, often array<long>")
 
 
 def _token_sets(rows: DataFrame) -> DataFrame:
@@ -220,7 +230,7 @@ def _token_sets(rows: DataFrame) -> DataFrame:
 
 
 def _points(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +295,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("home", F.xxhash64("text"))
     sets = materialize(_sets(docs, _common_tokens(docs)), "sets")
-    tokens = sets.where(F.col("prefix").isNotNull()).select("name", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x < y").select("token")
-    meetings = materialize(tokens.join(shared, "token", "left_semi").select("token", "name"), "meetings")
+    head = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
+    rare = sets.where(F.col("rare").isNotNull()).select("name", head.alias("head"), F.posexplode("rare").alias("at", "token"))
+    rare = rare.select("token", "name", (F.col("at") < F.col("head")).alias("early"))
+    own = Window.partitionBy("token").orderBy("name")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rare = rare.withColumns({"before": F.lag("name").over(own), "x": F.first("name").over(every), "y": F.last("name").over(every)})
+    rare = rare.where((F.col("x") < F.col("y")) & ~F.col("name").eqNullSafe(F.col("before"))).select("token", "name", "early")
+    often = sets.where(F.col("often").isNotNull()).select("name", head.alias("head"), F.size("rare").alias("skip"), F.posexplode("often").alias("at", "token"))
+    often = often.select("token", "name", (F.col("at") + F.col("skip") < F.col("head")).alias("early")).distinct()
+    shared = materialize(rare.union(often), "shared")
+    enough = shared.groupBy("name").agg(F.count("*").alias("c")).join(sets.where(F.col("rare").isNotNull()).select("name", "n").distinct(), "name")
+    enough = enough.where(F.col("c") >= 1 + F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10)).select("name")
+    meetings = materialize(shared.where("early").join(enough, "name", "left_semi").select("token", "name"), "meetings")
 
     # one meeting each, with the sets
     first = meetings.groupBy("name").agg(F.min("token").alias("meeting"))
