@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyfathom.llm import media, ngram_join, sharding, suffix_dedup
+from keyfathom.llm import language, media, ngram_join, sharding, suffix_dedup, unigram
+from keyfathom.llm.samples import fold
+from keyfathom.llm.storage import bounded_batches
+
+#: A SentencePiece model file.
+PIECES = os.environ.get("KEYFATHOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), unigram.load(PIECES), tokens=False)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
@@ -30,6 +48,8 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_media": op7_media,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Hand Python workers at most ``limit`` bytes at once, unless the session already asks for less.
+
+    A worker holds a batch, what is made of it and the next one, so this bounds its memory by the longest text."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    size = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
+    if size <= 0 or size > limit:
+        spark.conf.set(name, str(limit))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
