@@ -15,3 +15,12 @@ def by_hash(df: DataFrame, wanted: int, key: str) -> DataFrame:
     """Rows whose hashed id falls into one of the residue classes that hold about ``wanted`` rows; all if there are fewer."""
     step = max(1, df.count() // wanted)
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(step)) == 0) if step > 1 else df
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, wanted: int, longest: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, label) of about ``wanted`` labelled documents outside fold ``held`` with texts up to ``longest``
+    characters. An id with several labels has their largest."""
+    rows = labels.where(F.col(label).isNotNull() & (fold(key, folds) != held)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
+    some = by_hash(rows, wanted, key)  # at most about twice ``wanted`` rows of two numbers
+    texts = docs.where(F.col(text).isNotNull() & (F.length(text) <= longest)).select(F.col(key), F.col(text).alias("text"))
+    return texts.join(F.broadcast(some), key)

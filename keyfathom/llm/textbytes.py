@@ -10,6 +10,9 @@ import pyarrow as pa
 #: Space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII but letters and digits.
+NO_WORD = np.zeros(256, bool)
+NO_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -63,16 +66,16 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of some texts, and where each text's words begin (len + 1).
 
-    Words are runs of other bytes than white space; A-Z count as a-z."""
+    Words are runs of other bytes than ``breaks``, white space by default; A-Z count as a-z."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     solid = np.zeros(n + 1, bool)
-    solid[:n] = ~SPACE[data]
+    solid[:n] = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()
