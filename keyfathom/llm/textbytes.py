@@ -66,10 +66,11 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of some texts, and where each text's words begin (len + 1).
 
-    Words are runs of other bytes than ``breaks``, white space by default; A-Z count as a-z."""
+    Words are runs of other bytes than ``breaks``, white space by default; A-Z count as a-z.
+    With ``longest``, a hash is over that many bytes of its word at most."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if not n:
@@ -86,8 +87,9 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) ->
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
-    value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    stop = np.minimum(end, start + longest) if longest else end
+    value = (total[stop] - total[start]) * down[start]
+    value = mix(value + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return start, end, value, np.searchsorted(start, offsets)
 
 

@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Filters of several widths run over the embeddings of a text's words; the largest response of each filter feeds one
+A word's embedding is the sum of those of its hash and of the hash of its first PREFIX bytes, which inflected and
+compound forms share. Filters of several widths run over the embeddings of a text's words; the largest response of each filter feeds one
 logistic unit. Gradients pass only through the words at which a filter is largest, so a step touches few embeddings.
 The score's threshold is calibrated for each language group: a logistic fit on calibration rows sets slope and offset,
 so that 0.5 is the threshold everywhere. The group is read from the text, by its function words."""
@@ -23,6 +24,7 @@ WIDTH = 8
 FILTERS = 8
 SPANS = (1, 2, 3)
 PAD = max(SPANS) - 1
+PREFIX = 6
 #: Training documents and the longest of them.
 SAMPLE = 8000
 LONGEST = 20_000
@@ -40,15 +42,18 @@ FUNCTION_WORDS = {
 
 
 def buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word buckets of runs of texts, each text followed by PAD times BUCKETS, and where texts begin (len + 1)."""
+    """Buckets (n, 2) of words and their beginnings in runs of texts, each text followed by PAD rows of BUCKETS, and where
+    texts begin (len + 1)."""
     data, offsets = utf8(column)
     for first, last in pieces(offsets, 1 << 20):
         a = offsets[first]
-        _, _, h, at = words(data[a : offsets[last]], offsets[first : last + 1] - a, NO_WORD)
+        own, edges = data[a : offsets[last]], offsets[first : last + 1] - a
+        _, _, h, at = words(own, edges, NO_WORD)
+        start = ~words(own, edges, NO_WORD, PREFIX)[2]
         m = last - first
         begin = at + PAD * np.arange(m + 1)
-        out = np.full(begin[-1], BUCKETS, np.int32)
-        out[np.arange(len(h)) + PAD * np.repeat(np.arange(m), np.diff(at))] = (h >> np.uint64(46)).astype(np.int32)
+        out = np.full((begin[-1], 2), BUCKETS, np.int32)
+        out[np.arange(len(h)) + PAD * np.repeat(np.arange(m), np.diff(at))] = (np.stack((h, start), axis=1) >> np.uint64(46)).astype(np.int32)
         yield out, begin
 
 
@@ -56,7 +61,7 @@ def _groups() -> np.ndarray:
     """Language group of each bucket: 0 for none, else 1 + its place in FUNCTION_WORDS."""
     table = np.zeros(BUCKETS + 1, np.int8)
     for i, line in enumerate(FUNCTION_WORDS.values()):
-        ids, _ = next(buckets(pa.array([line])))
+        ids = next(buckets(pa.array([line])))[0][:, 0]
         table[ids[ids < BUCKETS]] = i + 1
     return table
 
@@ -73,10 +78,14 @@ class Model:
     shift: np.ndarray
 
 
+def _embed(model: Model, ids: np.ndarray) -> np.ndarray:
+    return model.embedding[ids[:, 0]] + model.embedding[ids[:, 1]]
+
+
 def _pool(model: Model, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest responses (texts, all filters) and the words at which they begin."""
     m = len(begin) - 1
-    x = model.embedding[ids]
+    x = _embed(model, ids)
     top, where = [], []
     doc = np.repeat(np.arange(m), np.diff(begin))
     for span, w in zip(SPANS, model.filters, strict=True):
@@ -96,7 +105,7 @@ def _pool(model: Model, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray,
 
 def _respond(model: Model, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The logistic unit's input for each text."""
-    x = model.embedding[ids]
+    x = _embed(model, ids)
     out = np.full(len(begin) - 1, model.offset, np.float32)
     for k, (span, w) in enumerate(zip(SPANS, model.filters, strict=True)):
         z = x[: len(x) - span + 1] @ w[0]
@@ -130,7 +139,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def language_groups(table: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     n, k = len(begin) - 1, len(FUNCTION_WORDS) + 1
     doc = np.repeat(np.arange(n), np.diff(begin))
-    seen = np.bincount(doc * k + table[ids], minlength=n * k).reshape(n, k)[:, 1:]
+    seen = np.bincount(doc * k + table[ids[:, 0]], minlength=n * k).reshape(n, k)[:, 1:]
     return np.where(seen.any(axis=1), seen.argmax(axis=1) + 1, 0)
 
 
@@ -174,10 +183,10 @@ def train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7, epochs: int = EPO
                 g = np.zeros_like(w)
                 for o in range(span):
                     at = np.minimum(places[:, part] + o, len(flat) - 1)
-                    x = model.embedding[flat[at]]
+                    x = model.embedding[flat[at]].sum(axis=2)
                     g[o] = np.einsum("mf,mfd->df", dh[:, part], x)
                     rows.append(flat[at].ravel())
-                    steps.append((dh[:, part, None] * w[o].T[None]).reshape(-1, WIDTH))
+                    steps.append(np.repeat((dh[:, part, None] * w[o].T[None]).reshape(-1, WIDTH), 2, axis=0))
                 grads.append(g)
             grads += [dh.sum(axis=0), np.where(active, hidden, 0).T @ d, np.array([d.sum()])]
             touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
@@ -190,7 +199,7 @@ def train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7, epochs: int = EPO
                 s += g**2
                 value -= 0.1 * g / np.sqrt(s)
             model.offset = float(offset[0])
-    flat = np.concatenate([ids[i] for i in np.flatnonzero(spare)]) if spare.any() else np.zeros(0, np.int32)
+    flat = np.concatenate([ids[i] for i in np.flatnonzero(spare)]) if spare.any() else np.zeros((0, 2), np.int32)
     if len(flat):
         begin = np.concatenate(([0], np.cumsum([len(ids[i]) for i in np.flatnonzero(spare)])))
         z, g, own = _respond(model, flat, begin).astype(float), language_groups(model.groups, flat, begin), y[spare]
@@ -210,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "label", "ids"])
 
     rows = labelled(docs, labels, "toxic", 5, 0, sample, longest).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids binary").toArrow().sort_by("doc_id")
-    return train([np.frombuffer(x, np.int32) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(np.int64))
+    return train([np.frombuffer(x, np.int32).reshape(-1, 2) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
