@@ -31,8 +31,8 @@ from keyfathom.llm.storage import materialize
 from keyfathom.llm.textbytes import BASE, MASK, as_long, mix, utf8
 
 LENGTH = 400
-KEEP = 32
-CROWD = 20_000
+KEEP = 256
+CROWD = 60_000
 BATCH = 8192
 END = 256
 #: Bytes of one text that are hashed at once.
@@ -110,7 +110,7 @@ def _occurrences(docs: DataFrame, length: int, keep: int) -> DataFrame:
 
 
 def _cut_pieces(rows: DataFrame, length: int, keep: int) -> DataFrame:
-    """(anchor, piece, left, body) from rows (text, wanted array of (anchor, piece, place))."""
+    """(anchor, piece, kinds, left, body) from rows (text, wanted array of (anchor, piece, kinds, place))."""
     before = length - keep
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +120,10 @@ def _cut_pieces(rows: DataFrame, length: int, keep: int) -> DataFrame:
                 raw = text.as_py()
                 for w in wanted:
                     left = min(w["place"], before)
-                    out.append((w["anchor"], w["piece"], left, raw[w["place"] - left : w["place"] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "piece", "left", "body"])
+                    out.append((w["anchor"], w["piece"], w["kinds"], left, raw[w["place"] - left : w["place"] + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "piece", "kinds", "left", "body"])
 
-    return rows.mapInArrow(run, "anchor long, piece long, left int, body binary")
+    return rows.mapInArrow(run, "anchor long, piece long, kinds long, left int, body binary")
 
 
 class _LeastBetween:
@@ -234,14 +234,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep: int = KEEP, crowd:
     distinct = materialize(again.groupBy("anchor", "piece").agg(F.sum(F.size("places")).alias("n"), F.min(first).alias("at")), "distinct")
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
     fetch = distinct.join(kinds, "anchor").select("anchor", "piece", "kinds", "at.*")
-    wanted = fetch.groupBy("home", "doc_id").agg(F.collect_list(F.struct("anchor", "piece", "place")).alias("wanted"))
+    wanted = fetch.groupBy("home", "doc_id").agg(F.collect_list(F.struct("anchor", "piece", "kinds", "place")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     texts = docs
     if wanted.count() <= BROADCAST_KEYS:
         texts = docs.join(F.broadcast(wanted.select("home").distinct()), "home", "left_semi")
     picked = texts.join(wanted, (texts["home"] == wanted["home"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"]))
     picked = picked.select(F.col("text").cast("binary").alias("text"), "wanted")
-    pieces = materialize(_cut_pieces(picked, length, keep).dropDuplicates(["anchor", "piece"]).join(kinds, "anchor"), "pieces")
+    # a row that occurs twice gives its pieces twice, but those have n > 1 and need no comparison
+    pieces = materialize(_cut_pieces(picked, length, keep), "pieces")
 
     compared = pieces.where(F.col("kinds") <= crowd).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
     compared = compared.mapInArrow(_compare(length, keep), f"anchor long, piece long, spans {SPANS}")
