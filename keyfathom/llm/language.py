@@ -104,8 +104,10 @@ def fit(rows: Iterable[tuple[str, str]]) -> Model:
 
 def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Scores (words, languages), with a very low one for languages outside the word's script, and which words count."""
-    owner, bucket, script = _grams(words)
     n = len(model.languages)
+    if not n:
+        return np.zeros((len(words), 0), np.float32), np.zeros(len(words), bool)
+    owner, bucket, script = _grams(words)
     score = np.stack([np.bincount(owner, model.weights[bucket, k], minlength=len(words)) for k in range(n)], axis=1)
     known = model.allowed[script]
     some = known.any(axis=1)
