@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfathom.llm import decontaminate, language, ngram_join, suffix_dedup, unigram
+from keyfathom.llm.ngram_join import BROADCAST_KEYS
 from keyfathom.llm.queries import PIECES, table
 from keyfathom.llm.storage import bounded_batches, materialize
 
@@ -17,10 +18,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep, of each group of near duplicates, the document with the smallest id; a repeated row of that id goes too."""
+    """Keep, of each group of near duplicates, the document with the smallest id, and one of repeated rows.
+
+    Documents without an id count only where their whole group has none; then each different text stays."""
     bounded_batches(spark)
-    kept = ngram_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    near = materialize(ngram_join.near_duplicates(docs), "near")
+    key = ["doc_id", "text_hash"]
+    dropped = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    repeated = near.groupBy(*key).count().where("count > 1").select(*key)
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["text_hash"])
+    small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    dropped = small(dropped)
+    kept = docs.join(dropped, same(dropped), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    repeated = small(repeated)
+    return kept.join(repeated, same(repeated), "left_anti").union(kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 Shingles are tokens; hashed into GROUPS groups, a document is a point of group counts. Points are packed into an R-tree
 whose nodes hold coordinate maxima; the sum of coordinate minima of a query and a node bounds the overlap with any
-document below. Pairs that survive are verified on the sets.
+document below. A pair that passes must also have parity bitmaps that differ in no more bits than similar sets differ in
+tokens. Pairs that survive are verified on the sets.
 
 Trees need documents that may match in one place. Two sets with similarity t or more share at least c tokens among the
 first n - ceil(t n) + c of either under any common order. So documents meet by the tokens of their prefixes (c = 1), very
 common ones ordered last, and those that share fewer than c tokens with any others at c = 1 + n / 10 can have no
-partner. First every document that shares a prefix token goes with its set to one meeting (its least shared token); groups
-that grow beyond MEETING rows are salted and share a pivot. What links there is contracted. Then, for each prefix token
-at which documents of different contracted groups meet, a tree over points alone gives the pairs that are left. So no
-pair is lost and a group of n copies costs about n verifications. Equal sets are one document throughout."""
+partner. In each of a few rounds, every document with a prefix token at which different groups still meet goes with its
+set to one meeting, at one such token; meetings that grow beyond MEETING rows are salted and share a pivot. What links
+there is contracted into groups. Then, for each prefix token at which different groups are left, a tree over points
+alone gives all remaining pairs. So no pair is lost, and a group of n copies costs about n verifications. Equal sets are
+one document throughout."""
 
 from __future__ import annotations
 
@@ -27,7 +29,9 @@ from keyfathom.llm.storage import materialize
 from keyfathom.llm.textbytes import as_long, mix, pieces, utf8, words
 
 GROUPS = 128
+PARITY_BITS = 2048
 MEETING = 1000
+ROUNDS = 3
 BUCKET = 4096
 LEAF = 16
 #: Tokens in more than this share of a block of documents count as common.
@@ -125,25 +129,42 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * int((y[at] == x).sum()) >= needed(len(x), len(y))
 
 
-def link(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """A label for each document, equal for those connected by similar pairs; pairs already connected are not verified."""
-    label = np.arange(len(sizes))
+def link(points: np.ndarray, bits: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
+    """A number for each document, equal for those that share a label or are connected by similar pairs.
+
+    Pairs already connected are not verified."""
+    label = np.arange(len(sizes)) if labels is None else np.unique(labels, return_inverse=True)[1]
     if len(sizes) < 2:
         return label
     tree = CountTree(points, sizes)
     for at, i in enumerate(tree.order):
         spots = tree.near(points[i], int(sizes[i]))
-        for j in tree.order[spots[spots > at]]:
+        near = tree.order[spots[spots > at]]
+        for j in close(bits, sizes, i, near[label[near] != label[i]]):
             if label[i] != label[j] and similar(sets[i], sets[j]):
                 label[label == label[j]] = label[i]
     return label
 
 
-def counts(tokens: np.ndarray) -> np.ndarray:
-    """Group counts of a set. One so large that a count could overflow gets the largest in all groups, a safe bound."""
-    if len(tokens) > 1 << 22:
-        return np.full(GROUPS, 65535, np.uint16)
-    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=GROUPS).clip(max=65535).astype(np.uint16)
+def point(tokens: np.ndarray) -> bytes:
+    """Group counts of a set, then its parity bitmap. All counts are 255 if one would exceed that."""
+    n = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    bits = np.bincount((tokens & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return (n if n.max() < 256 else np.full(GROUPS, 255)).astype(np.uint8).tobytes() + np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def points_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (rows, GROUPS), without bound for sets whose counts weren't kept, and bitmaps as 64-bit words."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS + PARITY_BITS // 8)
+    n = rows[:, :GROUPS].astype(np.int32)
+    n[(n == 255).all(axis=1)] = 1 << 20
+    return n, np.ascontiguousarray(rows[:, GROUPS:]).view(np.uint64)
+
+
+def close(bits: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose bitmap differs from i's in few enough bits: each bit that differs is a token that does."""
+    gap = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    return others[9 * gap <= sizes[others] + sizes[i]]
 
 
 def prefix_length(n, extra):  # noqa: ANN001, ANN201
@@ -223,34 +244,34 @@ def _token_sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(0).to_pylist()
-            out = [(w, len(t), counts(t).tobytes(), t.tobytes()) for w, t in zip(wanted, shingle_sets(batch.column(1)), strict=True) if len(t) and fingerprint(t) == w]
+            out = [(w, len(t), point(t), t.tobytes()) for w, t in zip(wanted, shingle_sets(batch.column(1)), strict=True) if len(t) and fingerprint(t) == w]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["name", "n", "point", "tokens"])
 
     return rows.select("name", "text").mapInArrow(run, "name long, n long, point binary, tokens binary")
 
 
-def _points(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of (meeting, salt, name, label, n, point, tokens) to edges between labels that similar pairs connect."""
+    a: list[int] = []
+    b: list[int] = []
 
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of (meeting, salt, pivot, name, n, point, tokens) to (name, label); the pivot's group takes its name."""
-    names_out: list[int] = []
-    labels_out: list[int] = []
     for group in key_runs(batches, 2):
-        names = group.column("name").to_numpy()
-        pivot = int(group.column("pivot")[0].as_py())
-        label = link(_points(group.column("point")), group.column("n").to_numpy(), [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()])
+        labels = group.column("label").to_numpy()
+        if (labels == labels[0]).all():
+            continue
+        joined = link(*points_of(group.column("point")), group.column("n").to_numpy(), [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()], labels)
         least: dict[int, int] = {}
-        for name, own in zip(names.tolist(), label.tolist(), strict=True):
-            least[own] = pivot if pivot in (name, least.get(own)) else min(name, least.get(own, name))
-        for name, own in zip(names.tolist(), label.tolist(), strict=True):
-            names_out.append(name)
-            labels_out.append(least[own])
-        if len(names_out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(names_out, pa.int64()), pa.array(labels_out, pa.int64())], names=["name", "label"])
-            names_out, labels_out = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(names_out, pa.int64()), pa.array(labels_out, pa.int64())], names=["name", "label"])
+        for own, label in sorted(set(zip(joined.tolist(), labels.tolist(), strict=True))):
+            if least.setdefault(own, label) != label:
+                a.append(least[own])
+                b.append(label)
+        if len(a) > 10_000:
+            yield out()
+            a, b = [], []
+    yield out()
 
 
 def _leftover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +287,13 @@ def _leftover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(names) < 2:
             continue
         labels, sizes = group.column("label").to_numpy()[keep], group.column("n").to_numpy()[keep]
-        points = _points(group.column("point"))[keep]
+        points, bits = (x[keep] for x in points_of(group.column("point")))
         tree = CountTree(points, sizes)
         for at, i in enumerate(tree.order):
             spots = tree.near(points[i], int(sizes[i]))
-            for j in tree.order[spots[spots > at]]:
-                if labels[i] != labels[j]:
-                    pairs.add((int(min(names[i], names[j])), int(max(names[i], names[j]))))
+            near = tree.order[spots[spots > at]]
+            for j in close(bits, sizes, i, near[labels[near] != labels[i]]):
+                pairs.add((int(min(names[i], names[j])), int(max(names[i], names[j]))))
         if len(pairs) > 50_000:
             yield out()
             pairs.clear()
@@ -287,7 +308,8 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id it is linked to, itself included.
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to, itself included) and
+    text_hash, the xxhash64 of its text.
 
     Null, empty and blank texts have no shingles and are linked with nothing, not even each other. Repeated rows are
     one set and come out as often as they came in. A null doc_id stays null and is no component's smallest unless it is
@@ -309,27 +331,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     enough = enough.where(F.col("c") >= 1 + F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10)).select("name")
     meetings = materialize(shared.where("early").join(enough, "name", "left_semi").select("token", "name"), "meetings")
 
-    # one meeting each, with the sets
-    first = meetings.groupBy("name").agg(F.min("token").alias("meeting"))
-    sizes = first.groupBy("meeting").agg(F.count("*").alias("rows"), F.min("name").alias("pivot"))
-    first = materialize(first.join(sizes.where("rows > 1"), "meeting").withColumn("salts", F.ceil(F.col("rows") / MEETING)), "first")
-    candidates = materialize(meetings.select("name").distinct(), "candidates")
+    candidates = meetings.select("name").distinct()
     home = sets.join(candidates, "name", "left_semi").groupBy("name").agg(F.min(F.struct("home", "doc_id")).alias("h"))
-    home = home.select("name", F.col("h.home").alias("home"), F.col("h.doc_id").alias("at"))
-    n = candidates.count()
-    wanted = docs.join(F.broadcast(home.select("home").distinct()), "home", "left_semi") if n <= BROADCAST_KEYS else docs
+    home = materialize(home.select("name", F.col("h.home").alias("home"), F.col("h.doc_id").alias("at")), "home")
+    wanted = docs.join(F.broadcast(home.select("home").distinct()), "home", "left_semi") if home.count() <= BROADCAST_KEYS else docs
     held = wanted.join(home, (wanted["home"] == home["home"]) & wanted["doc_id"].eqNullSafe(home["at"])).select("name", "text")
     held = materialize(_token_sets(held).dropDuplicates(["name"]), "tokens")
-    spread = first.withColumn("salt", F.when((F.col("name") == F.col("pivot")) & (F.col("salts") > 1), F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))))
-    spread = spread.select("meeting", F.explode(F.col("salt").cast("array<long>")).alias("salt"), "pivot", "name")
-    met = spread.join(held, "name").select("meeting", "salt", "pivot", "name", "n", "point", "tokens")
-    met = met.repartition("meeting", "salt").sortWithinPartitions("meeting", "salt").mapInArrow(_meet, "name long, label long")
-    labels = candidates.join(met.groupBy("name").agg(F.min("label").alias("label")), "name", "left")
-    labels = materialize(labels.select("name", F.coalesce("label", "name").alias("label")), "labels")
+
+    labels = home.select("name", F.col("name").alias("label"))
+    for turn in range(ROUNDS):
+        apart = meetings.join(labels, "name")
+        open_ = apart.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+        first = apart.join(open_, "token").groupBy("name", "label").agg(F.min_by("token", F.xxhash64("token", F.lit(turn))).alias("meeting"))
+        first = materialize(first, "first")
+        sizes = first.groupBy("meeting").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("salts"), F.min("name").alias("pivot"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+        salts = F.when(F.col("name") == F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("salts")).cast("int")))
+        spread = first.join(sizes.drop("x", "y"), "meeting").select("meeting", F.explode(salts.cast("array<long>")).alias("salt"), "name", "label")
+        met = spread.join(held, "name").select("meeting", "salt", "name", "label", "n", "point", "tokens")
+        roots = components(met.repartition("meeting", "salt").sortWithinPartitions("meeting", "salt").mapInArrow(_meet, "a long, b long"))
+        labels = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("name", F.coalesce("root", "label").alias("label"))
+        labels = materialize(labels, "labels")
+        if roots.isEmpty():
+            break
 
     # pairs of different groups at any shared prefix token
     labelled = meetings.join(labels, "name")
-    split = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y")
+    split = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("name")).alias("who")).where("x < y")
+    split = split.groupBy("who", "rows").agg(F.min("token").alias("token"))  # tokens at which the same documents meet count once
     blocks = F.ceil(F.col("rows") / BUCKET).cast("int")
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.least(c, own) * F.col("blocks") + F.greatest(c, own))
@@ -343,6 +371,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = components(links.join(low, "a").join(high, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
     group = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("name", F.coalesce("root", "label").alias("group"))
-    rows = sets.select("doc_id", "n", "name").join(group, "name", "left").withColumn("group", F.coalesce("group", "name"))
+    rows = sets.select("doc_id", "home", "n", "name").join(group, "name", "left").withColumn("group", F.coalesce("group", "name"))
     least = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("home").alias("text_hash"))
