@@ -39,8 +39,8 @@ PENALTY = 8.0
 #: Training rows, and the longest text among them.
 SAMPLE = 3000
 LONGEST = 20_000
-CACHE = 300_000
-CHUNK_WORDS = 1_500_000
+CACHE = 100_000
+CHUNK_WORDS = 600_000
 WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Hand Python workers at most ``limit`` bytes at once, unless the session already asks for less.
 
     A worker holds a batch, what is made of it and the next one, so this bounds its memory by the longest text."""

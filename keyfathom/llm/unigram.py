@@ -21,10 +21,10 @@ MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Stands for a U+2581 of the text: no UTF-8 byte, so no piece holds it.
 OWN_MARK = 0xFF
-CACHE = 300_000
+CACHE = 60_000
 UNKNOWN = 10.0
 #: Bytes of new units that are segmented at once.
-STRETCH = 4_000_000
+STRETCH = 200_000
 
 
 @dataclass
@@ -190,32 +190,39 @@ def segment(vocab: Vocabulary, units: list[str]) -> list[array]:
 
 
 class Tokenizer:
-    """Encodes and decodes; the segmentations of units seen before are kept, up to CACHE."""
+    """Encodes and decodes; the segmentations of units seen before are kept, up to CACHE.
+
+    Texts that wait for new units are held as unit numbers, which are a tenth of the size of the units."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         self.unit = re.compile(vocab.unit)
-        self.known: dict[str, array] = {}
+        self.number: dict[str, int] = {}
+        self.known: list[array] = []
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[array]:
-        held: list[list[str]] = []
-        new: dict[str, None] = {}
+        held: list[array] = []
+        new: list[str] = []
         size = 0
         for text in texts:
-            units = self.unit.findall(" " + text) if text else []
-            held.append(units)
-            for u in units:
-                if u not in self.known and u not in new:
-                    new[u] = None
+            number, units = self.number, array("i")
+            for m in self.unit.finditer(" " + text) if text else ():
+                u = m[0]
+                i = number.get(u)
+                if i is None:
+                    i = number[u] = len(number)
+                    new.append(u)
                     size += len(u)
+                units.append(i)
+            held.append(units)
             if size > STRETCH:
                 yield from self._finish(held, new)
-                held, new, size = [], {}, 0
+                held, new, size = [], [], 0
         yield from self._finish(held, new)
 
-    def _finish(self, held: list[list[str]], new: dict[str, None]) -> Iterator[array]:
+    def _finish(self, held: list[array], new: list[str]) -> Iterator[array]:
         if new:
-            self.known.update(zip(new, segment(self.vocab, list(new)), strict=True))
+            self.known += segment(self.vocab, new)
         known = self.known
         for units in held:
             ids = array("i")
@@ -223,7 +230,7 @@ class Tokenizer:
                 ids += known[u]
             yield ids
         if len(known) > CACHE:
-            known.clear()
+            self.number, self.known = {}, []
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text])).tolist()
