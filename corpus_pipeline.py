@@ -37,9 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 400 bytes that repeat out of the texts; n_chars is counted anew."""
+    """Cut strings of 400 bytes and passages of over 50 words that repeat out of the texts; n_chars is counted anew."""
     bounded_batches(spark)
-    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffix_dedup.remove_repeats(docs, least=suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,10 +28,13 @@ from pyspark.sql import types as T
 
 from keyfathom.llm.runs import key_runs
 from keyfathom.llm.storage import materialize
-from keyfathom.llm.textbytes import BASE, MASK, as_long, mix, utf8
+from keyfathom.llm.textbytes import BASE, MASK, as_long, mix, pieces, utf8, words
 
 LENGTH = 400
 KEEP = 256
+#: Passages of so many words repeat whatever their bytes; each word is CODE bytes of its hash in the search for them.
+WORDS = 51
+CODE = 4
 CROWD = 60_000
 BATCH = 8192
 END = 256
@@ -274,13 +277,7 @@ def merged(marks: list[dict], n: int, length: int = LENGTH) -> list[tuple[int, i
                 a, b = max(0, place + span["start"]), min(n, place + span["end"])
                 if b - a >= length:
                     cuts.append((a, b))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(set(cuts)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    return united(cuts)
 
 
 def _split(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame | None, DataFrame]:
@@ -325,24 +322,72 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     return result
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def word_codes(docs: DataFrame) -> DataFrame:
+    """(doc_id, home, text) with CODE bytes for each word of the text, so that equal runs of words are equal strings."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            out: list[bytes] = []
+            for first, last in pieces(offsets, 1 << 19):
+                _, _, value, begin = words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                raw = value.astype("<u4").tobytes()
+                out += [raw[CODE * a : CODE * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "home", "text"])
+
+    return docs.select("doc_id", "home", "text").mapInArrow(run, "doc_id long, home long, text binary")
+
+
+def word_cuts(raw: bytes, marks: list[dict], least: int) -> list[tuple[int, int]]:
+    """Byte ranges of a text, from the marks of its word codes; each goes from a word's start to a word's end."""
+    data = np.frombuffer(raw, np.uint8)
+    start, end, _, _ = words(data, np.array([0, len(data)]))
+    whole = [(-(-a // CODE), b // CODE) for a, b in merged(marks, CODE * len(start), CODE * least)]
+    return [(int(start[i]), int(end[j - 1])) for i, j in whole if j - i >= least]
+
+
+def united(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint ranges."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(cuts)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes of ``text`` cut out; all columns and rows stay.
 
+    With ``least``, runs of that many words that repeat are cut too, however few their bytes: words are parted by white
+    space, which itself plays no part, and A-Z count as a-z.
     A character of which only a part is covered stays, so the text remains valid UTF-8. A null text stays null."""
     inner = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
     inner = inner.withColumn("home", F.xxhash64("text"))
-    rest, marked = _split(inner, find_repeats(inner.drop("row"), length))
+    marks = find_repeats(inner.drop("row"), length)
+    if least:
+        keep = 1 << (CODE * least - 1).bit_length() - 1
+        own = find_repeats(word_codes(inner), CODE * least, keep).withColumnRenamed("marks", "word_marks")
+        both = marks.unionByName(own, allowMissingColumns=True).groupBy("home", "doc_id")
+        marks = materialize(both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("marks", "word_marks")]), "marks")
+    else:
+        marks = marks.withColumn("word_marks", F.lit(None).cast(marks.schema["marks"].dataType))
+    rest, marked = _split(inner, marks)
 
     @F.pandas_udf(T.StringType())
-    def cut(texts, marks):  # noqa: ANN001, ANN202
+    def cut(texts, marks, word_marks):  # noqa: ANN001, ANN202
         out = []
-        for value, own in zip(texts, marks, strict=True):
-            if value is None or own is None:
+        for value, own, of_words in zip(texts, marks, word_marks, strict=True):
+            if value is None or own is None and of_words is None:
                 out.append(value)
                 continue
             raw = value.encode()
             parts, at = [], 0
-            for a, b in merged(list(own), len(raw), length):
+            cuts = [] if own is None else merged(list(own), len(raw), length)
+            if of_words is not None:
+                cuts = united(cuts + word_cuts(raw, list(of_words), least))
+            for a, b in cuts:
                 while a < b and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
@@ -352,7 +397,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             out.append((b"".join(parts) + raw[at:]).decode())
         return texts.__class__(out, dtype=object)
 
-    after = marked.withColumn("text", F.when(F.col("marks").isNull(), F.col("text")).otherwise(cut("text", "marks"))).select("row", "text")
+    after = marked.withColumn("text", F.when(F.col("marks").isNull() & F.col("word_marks").isNull(), F.col("text")).otherwise(cut("text", "marks", "word_marks"))).select("row", "text")
     if rest is not None:
         after = after.union(rest.select("row", "text"))
     return after.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -29,3 +30,19 @@ def test_stages_by_brute_force(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id: r.text for r in unigram.decode_documents(found, vocab).collect()} == kept[3]
     assert found.where(~F.col("round_trip")).count() == 0
+
+
+def test_cut_repeats_of_few_bytes(spark):
+    """Passages of 51 words repeat, whatever their bytes; those of 50 words and under 400 bytes stay."""
+    r = np.random.default_rng(60)
+    pick = lambda n: ["".join(r.choice(list("abcdefgh"), r.integers(3, 6))) for _ in range(n)]
+    over, under, one = pick(51), pick(50), list("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")[:51]
+    assert len(" ".join(over)) < 309 and len(" ".join(one)) == 101
+    own = [pick(70) for _ in range(8)]
+    part = [over, over, under, under, one, one, over, over]
+    texts = [" ".join(o[:30] + p + o[30:]) for o, p in zip(own, part, strict=True)]
+    texts[7] = "\n".join(own[7][:30] + over + own[7][30:])
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(9, None, "en", "s", 0)]
+    found = {i: t for i, t, *_ in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    want = {i: o if p is not under else o[:30] + p + o[30:] for i, (o, p) in enumerate(zip(own, part, strict=True))}
+    assert {i: t.split() for i, t in found.items() if t is not None} == want and found[9] is None
