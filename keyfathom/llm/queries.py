@@ -36,7 +36,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode_documents(table(spark, sf_dir, "documents"), unigram.load(PIECES), tokens=False)
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), unigram.load(PIECES))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

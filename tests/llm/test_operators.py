@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyfathom.llm import decontaminate, language, media, ngram_join, quality, sharding, suffix_dedup, toxicity, unigram, url_templates
+from keyfathom.llm import decontaminate, language, media, ngram_join, quality, queries, sharding, suffix_dedup, toxicity, unigram, url_templates
 from keyfathom.llm.runs import components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -206,6 +206,13 @@ def test_edits_within_budget_are_found(item, data):
     assert found and found[0][4] <= decontaminate.budget(len(item))
 
 
+def test_query_returns_token_ids(docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_sentencepiece(docs.sparkSession, str(tmp_path)).collect()
+    assert len(rows) == docs.count() and all(len(r.tokens) == r.n_tokens for r in rows)
+    assert all(hashlib.sha256(np.array(r.tokens, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in rows)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.ORG/es/1?x"), (2, "https://example.org/en/12"), (3, "https://example.org/en/2"), (4, "x://b.com/fr/"), (5, "no scheme"), (6, None), (7, ""), (8, "http://notorg/"), (9, "http://x.com#f"), (10, "http://x.com/de/a/b/c/d/e/f"), (6, None)]
     rows += [(100 + i, f"http://h{i % 3}.net/de/{i}") for i in range(30)] + [(200 + i, f"http://h.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(60)]
