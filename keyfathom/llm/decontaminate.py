@@ -3,14 +3,15 @@
 Q-gram lemma: if e edits turn an item of m characters into a stretch of a document, they share at least
 m - Q + 1 - Q e character q-grams, at diagonals (document position less item position) that differ by e at most. Shared
 q-grams are counted in overlapping bands of 2 (e + 1) diagonals; bands that reach the bound are verified by a banded
-alignment. Case is ignored. The benchmark is taken in blocks, so what workers hold is bounded."""
+alignment. Items of fewer than Q characters are searched for exact copies. Case is ignored. The benchmark is taken in blocks, so what workers hold is bounded."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,11 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def characters(c: np.ndarray) -> str:
+    """The string of some code points."""
+    return c.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(c: np.ndarray) -> np.ndarray:
     """64-bit hashes of all q-grams."""
     if len(c) < Q:
@@ -51,8 +57,9 @@ def budget(m: int) -> int:
 
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list[int]  # of the items, then of the short ones
     items: list[np.ndarray]
+    short: list[str]  # items of fewer than Q characters
     gram: np.ndarray  # distinct, sorted
     first: np.ndarray  # where the postings of each begin (len + 1)
     item: np.ndarray
@@ -61,15 +68,27 @@ class Index:
     edits: np.ndarray
     bound: np.ndarray
 
+    @cached_property
+    def exact(self) -> ahocorasick.Automaton:
+        """Finds the short items; a worker makes it when it first needs it."""
+        tree = ahocorasick.Automaton()
+        for k, text in enumerate(self.short):
+            tree.add_word(text, (*tree.get(text, ()), len(self.items) + k))
+        tree.make_automaton()
+        return tree
+
 
 def build(rows: Iterable[tuple[int, str | None]]) -> Index:
-    """Index of (item_id, text); null texts and those shorter than Q characters can't be found and are left out."""
-    ids, items = [], []
+    """Index of (item_id, text); null, empty and blank texts can't be found and are left out."""
+    ids, items, short_ids, short = [], [], [], []
     for i, text in rows:
         c = codes(text or "")
         if len(c) >= Q:
             ids.append(i)
             items.append(c)
+        elif text and text.strip():
+            short_ids.append(i)
+            short.append(characters(c))
     hashes = [grams(c) for c in items]
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
@@ -80,7 +99,7 @@ def build(rows: Iterable[tuple[int, str | None]]) -> Index:
     bloom[(gram >> np.uint64(64 - BITS)).astype(np.int64)] = True
     m = np.array([len(c) for c in items], np.int64)
     edits = np.array([budget(x) for x in m.tolist()], np.int64)
-    return Index(ids, items, gram, np.append(first, len(every)), item[order], place[order], bloom, edits, m - Q + 1 - Q * edits)
+    return Index(ids + short_ids, items, short, gram, np.append(first, len(every)), item[order], place[order], bloom, edits, m - Q + 1 - Q * edits)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -116,6 +135,18 @@ def search(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, in
             size += len(parts[-1])
             at += 1
         yield from _search(index, first, parts)
+        if index.short:
+            yield from _search_exact(index, first, parts)
+
+
+def _search_exact(index: Index, number: int, parts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+    for t, part in enumerate(parts):
+        ends: dict[int, int] = {}
+        for last, items in index.exact.iter(characters(part)):
+            for i in items:
+                ends.setdefault(i, last + 1)
+        for i, end in sorted(ends.items()):
+            yield number + t, i, end - len(index.short[i - len(index.items)]), end, 0
 
 
 def _search(index: Index, number: int, parts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:

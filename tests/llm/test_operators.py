@@ -193,6 +193,15 @@ def test_leaks(spark, docs, clashing, empty):
     assert len(list(decontaminate.blocks(bench, limit=100))) > 1
 
 
+def test_short_items_are_found(spark):
+    """Exact copies of items of fewer than Q characters, anywhere in a text; blank items are none."""
+    bench = spark.createDataFrame([(1, "Zq 7é"), (2, "zq 7É"), (3, "zz"), (4, " "), (5, ""), (6, "long enough to have grams")], "item_id long, text string")
+    some = spark.createDataFrame([(1, "a ZQ 7É b zq 7é"), (2, "zzz"), (3, "zq 8é and more text"), (4, None), (5, "so LONG enough to have grams")], "doc_id long, text string")
+    found = got(decontaminate.leaks(some, bench), "doc_id", "item_id", "start", "end", "edits")
+    assert found == [(1, 1, 2, 7, 0), (1, 2, 2, 7, 0), (2, 3, 0, 2, 0), (5, 6, 3, 28, 0)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(some, bench).collect()) == [3, 4]
+
+
 @given(st.text("abc", min_size=30, max_size=60), st.data())
 @settings(max_examples=40, deadline=None)
 def test_edits_within_budget_are_found(item, data):
