@@ -12,7 +12,7 @@ from keyfathom.llm.storage import bounded_batches, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a known language: no letter, or under half of the letters in one language."""
+    """Drop documents without known languages: no letter, or under half of the letters in words of such languages."""
     bounded_batches(spark)
     return language.keep_identified(docs, language.train(docs))
 

@@ -196,7 +196,7 @@ class Labeller:
                 self._learn(new)
             yield from self._label(texts[first:at], np.array(flat, np.int64), np.array(ends))
 
-    def _label(self, texts: list[str | None], flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
+    def _label(self, texts: list[str | None], flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, float, list[tuple[int, int, str]], float]]:
         k = len(self.model.languages)
         letters, counted = self.letters[flat], self.counted[flat]
         label = viterbi(self.scores[flat], ends) if k else np.zeros(len(flat), np.uint8)
@@ -205,10 +205,10 @@ class Labeller:
         by = np.bincount(doc * max(k, 1) + label, letters * counted, minlength=len(texts) * max(k, 1)).reshape(len(texts), -1)
         for i, text in enumerate(texts):
             if not total[i] or not k:
-                yield "und", 0.0, []
+                yield "und", 0.0, [], float(total[i] > 0)
                 continue
             best = int(by[i].argmax()) if by[i].any() else self.model.prior
-            yield self.model.languages[best], float(by[i, best] / total[i]), self._spans(text, label[ends[i] : ends[i + 1]]) if self.model.spans else []
+            yield self.model.languages[best], float(by[i, best] / total[i]), self._spans(text, label[ends[i] : ends[i + 1]]) if self.model.spans else [], float(by[i].sum() / total[i])
 
     def _spans(self, text: str, label: np.ndarray) -> list[tuple[int, int, str]]:
         found = list(WORD.finditer(text if len(text.lower()) != len(text) else text.lower()))
@@ -249,14 +249,15 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least this score."""
+    """The rows of ``docs``, all columns, with at least this share of their letters in words of known languages, whether
+    one or several. Where the model has no language, all rows with a letter stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(held.value)
         for batch in batches:
-            keep = [name != "und" and score >= least for name, score, _ in label(batch.column(place).to_pylist())]
+            keep = [known > 0 and known >= least for *_, known in label(batch.column(place).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -46,3 +46,15 @@ def test_cut_repeats_of_few_bytes(spark):
     found = {i: t for i, t, *_ in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
     want = {i: o if p is not under else o[:30] + p + o[30:] for i, (o, p) in enumerate(zip(own, part, strict=True))}
     assert {i: t.split() for i, t in found.items() if t is not None} == want and found[9] is None
+
+
+def test_mixed_and_unlabelled_documents_stay(spark):
+    """Half of the letters may lie in several languages; without any label there is no language to judge by."""
+    text = {"da": " ".join(words(80, 60)), "el": "αβγδε ζηθικ λμνξο " * 20, "ru": "абвгд ежзик лмноп " * 20}
+    rows = [(k * 10 + i, text[lang], lang, "s", 1) for k, lang in enumerate(text) for i in range(10)]
+    mixed = " ".join(t[:300] for t in text.values())
+    rows += [(100, mixed, None, "s", 1), (101, "123 ...", None, "s", 1), (102, "語言 " * 30, None, "s", 1), (103, None, None, "s", 0)]
+    stay = lambda df: {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert stay(df) == {r[0] for r in rows} - {101, 102, 103}
+    assert stay(df.withColumn("lang", F.lit(None).cast("string"))) == {r[0] for r in rows} - {101, 103}
