@@ -20,11 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep, of each group of near duplicates, the document with the smallest id, and one of repeated rows.
 
-    Documents without an id count only where their whole group has none; then each different text stays."""
+    Of different texts with that id, or where the whole group has none, the one with the smallest hash stays."""
     bounded_batches(spark)
     near = materialize(ngram_join.near_duplicates(docs), "near")
     key = ["doc_id", "text_hash"]
-    dropped = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    dropped = near.where(~F.col("first")).select(*key).distinct()
     repeated = near.groupBy(*key).count().where("count > 1").select(*key)
     same = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["text_hash"])
     small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

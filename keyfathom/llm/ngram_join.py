@@ -308,8 +308,9 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to, itself included) and
-    text_hash, the xxhash64 of its text.
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to, itself included),
+    text_hash, the xxhash64 of its text, and first, whether it is the least of its group by (doc_id, text_hash), a null
+    doc_id last.
 
     Null, empty and blank texts have no shingles and are linked with nothing, not even each other. Repeated rows are
     one set and come out as often as they came in. A null doc_id stays null and is no component's smallest unless it is
@@ -372,5 +373,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     group = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("name", F.coalesce("root", "label").alias("group"))
     rows = sets.select("doc_id", "home", "n", "name").join(group, "name", "left").withColumn("group", F.coalesce("group", "name"))
-    least = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("home").alias("text_hash"))
+    least = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "home")).alias("least"))
+    first = F.col("group").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("home").eqNullSafe(F.col("least.home")))
+    return rows.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.col("home").alias("text_hash"), first.alias("first"))

@@ -57,7 +57,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

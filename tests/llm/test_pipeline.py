@@ -58,3 +58,13 @@ def test_mixed_and_unlabelled_documents_stay(spark):
     df = spark.createDataFrame(rows, COLUMNS)
     assert stay(df) == {r[0] for r in rows} - {101, 102, 103}
     assert stay(df.withColumn("lang", F.lit(None).cast("string"))) == {r[0] for r in rows} - {101, 103}
+
+
+def test_one_of_each_group_stays(spark):
+    """Near copies without ids, or with different texts under one id, leave one document a group."""
+    base = [words(k, 100) for k in (70, 71, 72)]
+    near = lambda k, j: " ".join([*base[k][:j], "changed", *base[k][j + 1 :]])
+    rows = [(None, near(0, 3)), (None, near(0, 4)), (5, near(1, 3)), (5, near(1, 4)), (6, near(1, 5)), (None, near(2, 3)), (7, near(2, 4)), (5, "alone"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    kept = sorted((r.doc_id or 0, (r.text or "")[:5]) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert kept == sorted([(0, ""), (0, ""), (0, near(0, 3)[:5]), (5, "alone"), (5, near(1, 3)[:5]), (7, near(2, 4)[:5])])
