@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.storage import materialize
+from keyfathom.llm.storage import BROADCAST_KEYS, drop, materialize, rows_of, stands_for
+from keyfathom.llm.workers import tidy
 
 
 def key_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -35,23 +36,49 @@ def key_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a whole graph to (node, root)."""
+    own = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches if len(batch)]
+    if not own:
+        return
+    nodes, where = np.unique(np.concatenate(own, axis=1), return_inverse=True)
+    a, b = where.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, root[a], root[b])
+        np.minimum.at(least, root[b], root[a])
+        least = least[root]
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node of its component.
 
-    Alternating large-star and small-star rounds; each round's edges are written to the shared folder. Only a count of
-    changed edges reaches the driver. A star's edges are dealt by their far ends, so a hub's rows spread."""
+    Few edges (at most BROADCAST_KEYS, which is counted) are joined in one task. More are in alternating large-star and
+    small-star rounds; each round's edges are written to the shared folder, and only a count and a sum of their hashes
+    reach the driver. What a node's edges are joined with, one row a node, is written before the join, so that Spark can
+    split the edges of a hub."""
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if rows_of(edges) <= BROADCAST_KEYS:
+        roots = materialize(edges.coalesce(1).mapInArrow(tidy(_joined), "node long, root long"), "roots")
+        drop(edges)
+        return roots
+    sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+    now = sign(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        down = large.select(F.col("b").alias("node"), F.col("a").alias("low"))
-        low = down.groupBy("node").agg(F.min("low").alias("m"))
-        small = down.join(low, "node").select(F.col("m").alias("a"), F.explode(F.array("node", "low")).alias("b")).where("a <> b").distinct()
-        after = materialize(small, "edges")
-        same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = after
-        if same:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        down = materialize(large.select(F.col("b").alias("node"), F.col("a").alias("low")), "down")
+        low = materialize(down.groupBy("node").agg(F.min("low").alias("m")), "low")
+        star = down.join(low, "node").select(F.col("m").alias("a"), F.explode(F.array("node", "low")).alias("b")).where("a <> b").distinct()
+        after = materialize(star, "edges")
+        drop(least, low, down, edges)
+        edges, before, now = after, now, sign(after)
+        if now == before:
+            return stands_for(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), edges)

@@ -18,20 +18,22 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
-_up = np.ones(1, np.uint64)
-_down = np.ones(1, np.uint64)
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Powers that a worker keeps, and bytes of words that are hashed at once; a longer word is hashed on its own.
+KEPT = 1 << 20
+_kept: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    global _up, _down
-    if len(_up) < n:
-        size = 1 << (n - 1).bit_length()
-        for factor, name in ((BASE, "_up"), (pow(BASE, -1, 1 << 64), "_down")):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
-    return _up, _down
+def powers(factor: int, n: int) -> np.ndarray:
+    """factor**i modulo 2**64 for i < n."""
+    have = _kept.get(factor)
+    if have is None or len(have) < n:
+        have = np.full(1 << max(n - 1, 1).bit_length(), factor, np.uint64)
+        have[0] = 1
+        np.cumprod(have, dtype=np.uint64, out=have)
+        if len(have) <= KEPT:
+            _kept[factor] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,11 +86,18 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE, lon
     ends = np.zeros(n + 1, bool)
     ends[1:] = solid[:-1] & (~solid[1:] | edge[1:])
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     stop = np.minimum(end, start + longest) if longest else end
-    value = (total[stop] - total[start]) * down[start]
+    value = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        at = int(start[i])
+        j = max(i + 1, int(np.searchsorted(stop, at + KEPT // 2, side="right")))
+        m = int(stop[j - 1]) - at
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum((LOWER[data[at : at + m]].astype(np.uint64) + np.uint64(1)) * powers(BASE, m), out=total[1:])
+        x, y = start[i:j] - at, stop[i:j] - at
+        value[i:j] = (total[y] - total[x]) * powers(INVERSE, m + 1)[x]
+        i = j
     value = mix(value + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return start, end, value, np.searchsorted(start, offsets)
 
