@@ -3,7 +3,7 @@
 Column-wise multi-document construction. Any string of LENGTH bytes has a least hash among its KEEP-byte grams; where
 a gram is least in some such string, the text has an anchor. Equal strings have equal anchors at equal offsets, so the
 only texts to compare are the pieces around equal anchors: LENGTH bytes from the anchor on and LENGTH - KEEP before it.
-Pieces that occur twice repeat as a whole. The distinct pieces of an anchor are aligned on it and form a collection:
+Pieces that occur twice (by 128 bits of hash within an anchor) repeat as a whole. The distinct pieces of an anchor are aligned on it and form a collection:
 each round inserts one symbol of every piece, from the last column to the first. The symbols before the sorted
 suffixes are that column's Burrows-Wheeler transform; a stable sort by them gives the next order, and the common
 prefixes of neighbours follow from the least common prefix between their places before. Since equal strings of a
@@ -11,36 +11,41 @@ collection lie in the same columns, a column's suffixes need no comparison with
 proportion to the number of pieces. Columns are read from one sequential file, orders and common prefixes are appended
 to another, and a last pass over that file marks the starts whose neighbours share LENGTH symbols.
 
-An anchor with more than CROWD distinct pieces is not gathered: its strings are counted by hash, with partial sums."""
+An anchor with more than CROWD distinct pieces is a hot key, and is split by content, not by chance: the strings that
+begin in the nearer half of its columns need equal bytes to the right, those in the farther half equal bytes to the left.
+So each piece, cut to what either half can see, goes to two smaller collections, named by those bytes; pieces that have
+become equal repeat as a whole. What is still too large is halved again, until a collection is one column, where no two
+pieces are left that could be equal. No collection of more than CROWD pieces is ever compared, and none is skipped."""
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyfathom.llm.runs import key_runs
-from keyfathom.llm.storage import materialize
+from keyfathom.llm.storage import BROADCAST_KEYS, drop, materialize, rows_of, small
 from keyfathom.llm.textbytes import BASE, MASK, as_long, mix, pieces, utf8, words
+from keyfathom.llm.workers import tidy
 
 LENGTH = 400
 KEEP = 256
 #: Passages of so many words repeat whatever their bytes; each word is CODE bytes of its hash in the search for them.
 WORDS = 51
 CODE = 4
-CROWD = 60_000
+CROWD = 16_000
 BATCH = 8192
 END = 256
 #: Bytes of one text that are hashed at once.
 STRETCH = 1 << 21
-BROADCAST_KEYS = 1_000_000
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -82,38 +87,44 @@ def anchors(data: np.ndarray, length: int = LENGTH, keep: int = KEEP) -> tuple[n
     return where, what[first]
 
 
+ID = ["anchor", "piece", "proof"]
+_ID = "anchor long, piece long, proof long"
+
+
 def _occurrences(docs: DataFrame, length: int, keep: int) -> DataFrame:
-    """(anchor, piece, doc_id, home, places): a row for each distinct piece of a document."""
+    """(anchor, piece, proof, doc_id, home, places): a row for each distinct piece of a document. ``piece`` and ``proof``
+    are the two halves of a hash."""
     before = length - keep
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            row, anchor, piece, places = [], [], [], []
+            row: list[int] = []
+            keys: list[tuple[int, bytes]] = []
+            places: list[list[int]] = []
             for i in range(len(batch)):
                 text = data[offsets[i] : offsets[i + 1]]
                 if len(text) < length:
                     continue
                 where, what = anchors(text, length, keep)
                 raw = text.tobytes()
-                own: dict[tuple[int, int], list[int]] = {}
+                own: dict[tuple[int, bytes], list[int]] = {}
                 for p, h in zip(where.tolist(), as_long(what).tolist(), strict=True):
                     left = min(p, before)
-                    name = xxhash.xxh3_64_intdigest(raw[p - left : p + length], left)
-                    own.setdefault((h, name - (1 << 64) if name >> 63 else name), []).append(p)
-                for (h, name), at in own.items():
-                    row.append(i)
-                    anchor.append(h)
-                    piece.append(name)
-                    places.append(at)
+                    own.setdefault((h, xxhash.xxh3_128_digest(raw[p - left : p + length], left)), []).append(p)
+                row += [i] * len(own)
+                keys += own
+                places += own.values()
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(piece, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(places, pa.list_(pa.int32()))], names=["anchor", "piece", "doc_id", "home", "places"])
+            names = np.frombuffer(b"".join([k[1] for k in keys]), np.int64).reshape(-1, 2)
+            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take), batch.column(1).take(take), pa.array(places, pa.list_(pa.int32()))], names=[*ID, "doc_id", "home", "places"])
 
-    return docs.select("doc_id", "home", "text").mapInArrow(run, "anchor long, piece long, doc_id long, home long, places array<int>")
+    return docs.select("doc_id", "home", "text").mapInArrow(tidy(run), _ID + ", doc_id long, home long, places array<int>")
 
 
 def _cut_pieces(rows: DataFrame, length: int, keep: int) -> DataFrame:
-    """(anchor, piece, kinds, left, body) from rows (text, wanted array of (anchor, piece, kinds, place))."""
+    """(anchor, piece, proof, left, body) from rows (text, wanted array of (anchor, piece, proof, place))."""
     before = length - keep
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +134,10 @@ def _cut_pieces(rows: DataFrame, length: int, keep: int) -> DataFrame:
                 raw = text.as_py()
                 for w in wanted:
                     left = min(w["place"], before)
-                    out.append((w["anchor"], w["piece"], w["kinds"], left, raw[w["place"] - left : w["place"] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "piece", "kinds", "left", "body"])
+                    out.append((w["anchor"], w["piece"], w["proof"], left, raw[w["place"] - left : w["place"] + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=[*ID, "left", "body"])
 
-    return rows.mapInArrow(run, "anchor long, piece long, kinds long, left int, body binary")
+    return rows.mapInArrow(tidy(run), _ID + ", left int, body binary")
 
 
 class _LeastBetween:
@@ -199,17 +210,18 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(length: int, keep: int):  # noqa: ANN202
+    """Rows (cell, anchor, piece, proof, left, body), sorted by cell, to the spans that repeat within their cell."""
     before = length - keep
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def done(tables: list[pa.Table]) -> pa.RecordBatch:
         held = pa.concat_tables(tables)
-        flags = repeated_starts(held.column("anchor").to_numpy(), held.column("left").to_numpy(), held.column("body").to_pylist(), length, keep)
+        flags = repeated_starts(held.column("cell").to_numpy(), held.column("left").to_numpy(), held.column("body").to_pylist(), length, keep)
         some = np.flatnonzero(flags.any(axis=1))
         found = [[{"start": a - before, "end": b - 1 - before + length} for a, b in runs_of(flags[i])] for i in some]
         held = held.take(pa.array(some)).combine_chunks()
         one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        return pa.RecordBatch.from_arrays([one(held.column("anchor")), one(held.column("piece")), pa.array(found, spans)], names=["anchor", "piece", "spans"])
+        return pa.RecordBatch.from_arrays([*(one(held.column(c)) for c in ID), pa.array(found, spans)], names=[*ID, "spans"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: list[pa.Table] = []
@@ -226,64 +238,112 @@ def _compare(length: int, keep: int):  # noqa: ANN202
     return run
 
 
+def _span(start: Column, end: Column) -> Column:
+    return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))).cast(SPANS)
+
+
+def _halves(part: DataFrame, length: int, keep: int) -> tuple[DataFrame, DataFrame]:
+    """(next part, marks) of a part (cell, low, high, anchor, piece, proof, left, body) of hot cells.
+
+    A part's row holds the strings that begin ``low`` to ``high`` bytes before the anchor. Each half of that range goes
+    to the cell that the bytes which all of its strings cover name; rows that can't hold such a string go. Of rows that
+    are equal in their cell all are marked, and one stands for them from then on."""
+    before = length - keep
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = lambda a, b: F.struct(a.cast("int").alias("low"), b.cast("int").alias("high"))
+    two = part.select("cell", *ID, "left", "body", F.explode(F.array(half(F.col("low"), middle), half(middle + 1, F.col("high")))).alias("h"))
+    two = two.select("cell", *ID, "left", "body", "h.low", "h.high").where("low <= high")
+    two = two.where((F.col("left") >= F.col("low")) & (F.octet_length("body") >= F.col("left") + length - F.col("high")))
+    kept = F.least("left", "high")
+    common = F.substring("body", F.col("left") - F.col("low") + 1, F.col("low") + length - F.col("high"))
+    seen = F.substring("body", F.col("left") - kept + 1, kept + length - F.col("low"))
+    two = two.select(F.xxhash64("cell", "low", "high", common).alias("cell"), "low", "high", *ID, kept.alias("left"), seen.alias("body"))
+    two = two.withColumns({"x": F.xxhash64("left", "body"), "y": F.xxhash64(F.lit(before), "left", "body")})
+    two = materialize(two, "halves")
+    sums = two.groupBy("cell", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct(*ID)).alias("one"))
+    sums = materialize(sums, "sums")
+    alive = materialize(sums.groupBy("cell").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("cell"), "alive")
+    own = two.join(small(sums), ["cell", "x", "y"])
+    # whatever of a row equals another row repeats at all columns where the text goes on for long enough
+    whole = own.where("n > 1").select(*ID, _span(-F.col("left"), length - F.col("low")).alias("spans"))
+    after = own.where((F.struct(*ID) == F.col("one")) & (F.col("low") < F.col("high"))).join(small(alive), "cell", "left_semi")
+    after = materialize(after.select("cell", "low", "high", *ID, "left", "body"), "part")
+    whole = materialize(whole, "whole")
+    drop(two, sums, alive)
+    return after, whole
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, keep: int = KEEP, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, home, spans) of the documents that hold repeated strings; spans are byte ranges, sorted and disjoint.
+    """(doc_id, home, marks) of the documents that hold repeated strings; marks are (places, spans), byte ranges relative
+    to the places.
 
     ``docs`` has doc_id, text and home = xxhash64(text)."""
+    before = length - keep
     occurrences = materialize(_occurrences(docs, length, keep), "occurrences")
-    twice = occurrences.groupBy("anchor").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("anchor")
-    again = materialize(occurrences.join(twice, "anchor", "left_semi"), "again")
+    twice = materialize(occurrences.groupBy("anchor").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("anchor"), "twice")
+    again = materialize(occurrences.join(small(twice), "anchor", "left_semi"), "again")
+    drop(occurrences, twice)
     first = F.struct("home", "doc_id", F.element_at("places", 1).alias("place"))
-    distinct = materialize(again.groupBy("anchor", "piece").agg(F.sum(F.size("places")).alias("n"), F.min(first).alias("at")), "distinct")
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
-    fetch = distinct.join(kinds, "anchor").select("anchor", "piece", "kinds", "at.*")
-    wanted = fetch.groupBy("home", "doc_id").agg(F.collect_list(F.struct("anchor", "piece", "kinds", "place")).alias("wanted"))
+    distinct = materialize(again.groupBy(*ID).agg(F.sum(F.size("places")).alias("n"), F.min(first).alias("at")), "distinct")
+    mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
+    mixed = materialize(mixed, "mixed")
+    fetch = distinct.join(small(mixed), "anchor", "left_semi").select(*ID, "at.*")
+    wanted = fetch.groupBy("home", "doc_id").agg(F.collect_list(F.struct(*ID, "place")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     texts = docs
-    if wanted.count() <= BROADCAST_KEYS:
+    if rows_of(wanted) <= BROADCAST_KEYS:
         texts = docs.join(F.broadcast(wanted.select("home").distinct()), "home", "left_semi")
     picked = texts.join(wanted, (texts["home"] == wanted["home"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"]))
     picked = picked.select(F.col("text").cast("binary").alias("text"), "wanted")
-    # a row that occurs twice gives its pieces twice, but those have n > 1 and need no comparison
-    pieces = materialize(_cut_pieces(picked, length, keep), "pieces")
-
-    compared = pieces.where(F.col("kinds") <= crowd).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    compared = compared.mapInArrow(_compare(length, keep), f"anchor long, piece long, spans {SPANS}")
-    starts = pieces.where((F.col("kinds") > crowd) & (F.octet_length("body") >= length))
-    last = F.least(F.octet_length("body") - length, F.col("left"))
-    starts = starts.select("anchor", "piece", "left", "body", F.explode(F.sequence(F.lit(0), last)).alias("o"))
-    string = F.substring("body", F.col("o") + 1, F.lit(length))
-    starts = starts.select("anchor", "piece", (F.col("o") - F.col("left")).alias("o"), F.xxhash64(string).alias("x"), F.xxhash64(string, F.lit(1)).alias("y"))
-    common = starts.groupBy("anchor", "o", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = starts.join(common, ["anchor", "o", "x", "y"]).groupBy("anchor", "piece").agg(F.collect_list(F.struct(F.col("o").alias("start"), (F.col("o") + length).alias("end"))).alias("spans"))
-    whole = distinct.where("n > 1").select("anchor", "piece", F.lit(None).cast(SPANS).alias("spans"))
-    once = distinct.where("n = 1").select("anchor", "piece")
-    marks = whole.union(compared.union(crowded).join(once, ["anchor", "piece"], "left_semi"))
-
-    before = length - keep
-    all_of = F.array(F.struct(F.lit(-before).alias("start"), F.lit(length).alias("end")))
-    found = again.join(marks, ["anchor", "piece"]).select("doc_id", "home", "places", F.coalesce("spans", all_of.cast(SPANS)).alias("spans"))
+    # a row that occurs twice gives its pieces twice; those have n > 1 and are marked as wholes
+    part = _cut_pieces(picked, length, keep)
+    part = materialize(part.select(F.col("anchor").alias("cell"), F.lit(0).alias("low"), F.lit(before).alias("high"), *ID, "left", "body"), "pieces")
+    marks = [distinct.where("n > 1").select(*ID, _span(F.lit(-before), F.lit(length)).alias("spans"))]
+    parts = [mixed, wanted, part]
+    compare = _compare(length, keep)
+    while True:
+        hot = materialize(part.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell"), "hot")
+        cool = part.join(small(hot), "cell", "left_anti") if rows_of(hot) else part
+        cool = cool.select("cell", *ID, "left", "body").repartition("cell").sortWithinPartitions("cell")
+        marks.append(cool.mapInArrow(tidy(compare), _ID + f", spans {SPANS}"))
+        parts.append(hot)
+        if not rows_of(hot):
+            break
+        part, whole = _halves(part.join(small(hot), "cell", "left_semi"), length, keep)
+        marks.append(whole)
+        parts += [part, whole]
+    marked = materialize(reduce(DataFrame.union, marks), "spans")
+    found = again.join(small(marked), ID).select("doc_id", "home", "places", "spans")
     found = found.groupBy("home", "doc_id").agg(F.collect_list(F.struct("places", "spans")).alias("marks"))
-    return materialize(found, "marks")
+    found = materialize(found, "marks")
+    drop(again, distinct, marked, *parts)
+    return found
 
 
 def merged(marks: list[dict], n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """Sorted disjoint byte ranges of a text of n bytes. A span is clipped to the text; one that is then shorter than
     ``length`` comes from a piece at the text's edge and covers nothing."""
-    cuts = []
+    first, last = [], []
     for mark in marks:
-        for place in mark["places"]:
-            for span in mark["spans"]:
-                a, b = max(0, place + span["start"]), min(n, place + span["end"])
-                if b - a >= length:
-                    cuts.append((a, b))
-    return united(cuts)
+        places = np.asarray(mark["places"], np.int64)
+        for span in mark["spans"]:
+            a, b = np.maximum(places + span["start"], 0), np.minimum(places + span["end"], n)
+            good = b - a >= length
+            first.append(a[good])
+            last.append(b[good])
+    if not first:
+        return []
+    a = np.concatenate(first)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(np.concatenate(last)[order])
+    begins = np.flatnonzero(np.append(True, a[1:] > b[:-1]))[: len(a)]
+    return list(zip(a[begins].tolist(), b[np.append(begins[1:], len(a)) - 1].tolist(), strict=True))
 
 
 def _split(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """Documents that surely have no mark (None if that would need too large a broadcast), and the others with marks."""
     rest = None
-    if marks.count() <= BROADCAST_KEYS:
+    if rows_of(marks) <= BROADCAST_KEYS:
         homes = F.broadcast(marks.select("home").distinct())
         rest, docs = docs.join(homes, "home", "left_anti"), docs.join(homes, "home", "left_semi")
     other = marks.withColumnsRenamed({"home": "m_home", "doc_id": "m_doc_id"})
@@ -291,19 +351,35 @@ def _split(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame | None, DataFra
     return rest, joined.drop("m_home", "m_doc_id")
 
 
-def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left.
+def _both_marks(docs: DataFrame, length: int, least: int | None) -> DataFrame:
+    """(home, doc_id, marks, word_marks) of the documents with repeated strings or runs of ``least`` words."""
+    marks = find_repeats(docs, length)
+    if not least:
+        return marks.withColumn("word_marks", F.lit(None).cast(marks.schema["marks"].dataType))
+    keep = 1 << (CODE * least - 1).bit_length() - 1
+    own = find_repeats(word_codes(docs), CODE * least, keep)
+    both = marks.unionByName(own.withColumnRenamed("marks", "word_marks"), allowMissingColumns=True).groupBy("home", "doc_id")
+    both = materialize(both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("marks", "word_marks")]), "marks")
+    drop(marks, own)
+    return both
+
+
+def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left. With ``least`` also
+    n_passages and passage_bytes: the maximal runs of at least that many words that repeat, whatever their bytes (see
+    ``remove_repeats``), and the bytes they cover; they are reported, not removed.
 
     Null texts are empty ones; texts shorter than ``length`` lose nothing. Repeated rows count as separate documents,
     so both lose what they share. Other columns of ``docs`` are ignored; an empty table gives no rows."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("home", F.xxhash64("text"))
-    rest, marked = _split(docs, find_repeats(docs, length))
+    rest, marked = _split(docs, _both_marks(docs, length, least))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "passage_bytes"] * bool(least)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, marks in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for value, marks, of_words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = value.as_py()
                 cuts = merged(marks or [], len(raw), length)
                 kept, at = hashlib.sha256(), 0
@@ -311,14 +387,16 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                passages = word_cuts(raw, of_words, least) if of_words else []
+                out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), len(passages), sum(b - a for a, b in passages)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds[: len(names) - 1]))], names=names)
 
-    result = marked.select("doc_id", F.col("text").cast("binary").alias("text"), "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passages long, passage_bytes long" * bool(least)
+    result = marked.select("doc_id", F.col("text").cast("binary").alias("text"), "marks", "word_marks").mapInArrow(tidy(run), schema)
     if rest is not None:
         zero = F.lit(0).cast("long")
-        result = result.union(rest.select("doc_id", F.octet_length("text").cast("long"), zero, zero, F.sha2(F.col("text").cast("binary"), 256)))
+        result = result.union(rest.select("doc_id", F.octet_length("text").cast("long"), zero, zero, F.sha2(F.col("text").cast("binary"), 256), *[zero] * (len(names) - 5)))
     return result
 
 
@@ -335,7 +413,7 @@ def word_codes(docs: DataFrame) -> DataFrame:
                 out += [raw[CODE * a : CODE * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "home", "text"])
 
-    return docs.select("doc_id", "home", "text").mapInArrow(run, "doc_id long, home long, text binary")
+    return docs.select("doc_id", "home", "text").mapInArrow(tidy(run), "doc_id long, home long, text binary")
 
 
 def word_cuts(raw: bytes, marks: list[dict], least: int) -> list[tuple[int, int]]:
@@ -363,17 +441,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     With ``least``, runs of that many words that repeat are cut too, however few their bytes: words are parted by white
     space, which itself plays no part, and A-Z count as a-z.
     A character of which only a part is covered stays, so the text remains valid UTF-8. A null text stays null."""
-    inner = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    others = [c for c in docs.columns if c != text]
+    inner = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("row"))
     inner = inner.withColumn("home", F.xxhash64("text"))
-    marks = find_repeats(inner.drop("row"), length)
-    if least:
-        keep = 1 << (CODE * least - 1).bit_length() - 1
-        own = find_repeats(word_codes(inner), CODE * least, keep).withColumnRenamed("marks", "word_marks")
-        both = marks.unionByName(own, allowMissingColumns=True).groupBy("home", "doc_id")
-        marks = materialize(both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("marks", "word_marks")]), "marks")
-    else:
-        marks = marks.withColumn("word_marks", F.lit(None).cast(marks.schema["marks"].dataType))
-    rest, marked = _split(inner, marks)
+    rest, marked = _split(inner, _both_marks(inner.drop("row"), length, least))
 
     @F.pandas_udf(T.StringType())
     def cut(texts, marks, word_marks):  # noqa: ANN001, ANN202
