@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfathom.llm.storage import materialize
 from keyfathom.llm.textbytes import mix
+from keyfathom.llm.workers import tidy
 
 Q = 10
 EDIT_SHARE = 16
@@ -25,6 +27,8 @@ BLOCK_CHARACTERS = 2_000_000
 BITS = 22
 #: Characters of documents that are searched at once.
 STRETCH = 1 << 20
+#: Shared q-grams that are counted at once.
+HITS = 1 << 20
 
 
 def codes(text: str) -> np.ndarray:
@@ -149,6 +153,32 @@ def _search_exact(index: Index, number: int, parts: list[np.ndarray]) -> Iterato
             yield number + t, i, end - len(index.short[i - len(index.items)]), end, 0
 
 
+def _bands(index: Index, found: np.ndarray, text: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, item, band) of the bands that reach their item's bound, by text, from q-grams (index of the gram, text,
+    place) in order. Hits are counted HITS at a time; what is carried on is the counts of one text."""
+    n = index.first[found + 1] - index.first[found]
+    total = np.cumsum(n)
+    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = 0
+    while at < len(found):
+        last = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HITS, side="right")))
+        m = n[at:last]
+        posting = np.repeat(index.first[found[at:last]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        item, own = index.item[posting], np.repeat(text[at:last], m).astype(np.int64)
+        band = (np.repeat(place[at:last], m) - index.place[posting]) // (index.edits[item] + 1) + (1 << 30)
+        pair = own * len(index.items) + item
+        # a hit counts for the bands [band, band + 2) and [band - 1, band + 1) of ``step`` diagonals
+        new, times = np.unique(np.concatenate((pair, pair)) << 32 | np.concatenate((band, band - 1)), return_counts=True)
+        key, where = np.unique(np.concatenate((key, new)), return_inverse=True)
+        count = np.bincount(where, np.concatenate((count, times)), minlength=len(key)).astype(np.int64)
+        pair = key >> 32
+        ended = pair // len(index.items) < (text[last] if last < len(text) else np.iinfo(np.int64).max)
+        good = ended & (count >= index.bound[pair % len(index.items)])
+        yield pair[good] // len(index.items), pair[good] % len(index.items), (key[good] & 0xFFFFFFFF) - (1 << 30)
+        key, count = key[~ended], count[~ended]
+        at = last
+
+
 def _search(index: Index, number: int, parts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
     lengths = np.array([len(p) for p in parts])
     starts = np.cumsum(lengths) - lengths
@@ -162,33 +192,19 @@ def _search(index: Index, number: int, parts: list[np.ndarray]) -> Iterator[tupl
     doc = np.searchsorted(starts, spots, side="right") - 1
     good = (index.gram[found] == h[spots]) & (spots + Q <= (starts + lengths)[doc])
     spots, found, doc = spots[good], found[good], doc[good]
-    n = index.first[found + 1] - index.first[found]
-    total = int(n.sum())
-    if not total:
-        return
-    posting = np.repeat(index.first[found] - (np.cumsum(n) - n), n) + np.arange(total)
-    item, text = index.item[posting], np.repeat(doc, n)
-    diagonal = np.repeat(spots - starts[doc], n) - index.place[posting]
-    step = index.edits[item] + 1
-    band = diagonal // step + (1 << 30)
-    # a hit counts for the bands [band, band + 2) and [band - 1, band + 1) of ``step`` diagonals
-    pair = text.astype(np.int64) * len(index.items) + item
-    key = np.concatenate((pair, pair)) << 32 | np.concatenate((band, band - 1))
-    key, count = np.unique(key, return_counts=True)
-    pair, band = key >> 32, (key & 0xFFFFFFFF) - (1 << 30)
-    text, item = pair // len(index.items), pair % len(index.items)
-    reached = np.flatnonzero(count >= index.bound[item])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for x in reached[np.argsort(-count[reached], kind="stable")].tolist():
-        i, t, e = int(item[x]), int(text[x]), int(index.edits[item[x]])
-        if best.get((t, i), (e + 1,))[0] == 0:
-            continue
-        low = int(band[x]) * (e + 1)
-        cost, end = align(index.items[i], parts[t], low, low + 2 * (e + 1) - 1)
-        if cost <= e and (cost, end) < best.get((t, i), (e + 1, 0, 0))[:2]:
-            own = parts[t][max(0, end - len(index.items[i]) - e) : end]
-            _, back = align(index.items[i][::-1], own[::-1], -e, e)
-            best[t, i] = (cost, end, end - back)
+    for text, item, bands in _bands(index, found, doc, spots - starts[doc]):
+        # from the first band on, so that of equal places the first is found first
+        for t, i, band in zip(text.tolist(), item.tolist(), bands.tolist(), strict=True):
+            e = int(index.edits[i])
+            if best.get((t, i), (e + 1,))[0] == 0:
+                continue
+            low = band * (e + 1)
+            cost, end = align(index.items[i], parts[t], low, low + 2 * (e + 1) - 1)
+            if cost <= e and (cost, end) < best.get((t, i), (e + 1, 0, 0))[:2]:
+                own = parts[t][max(0, end - len(index.items[i]) - e) : end]
+                _, back = align(index.items[i][::-1], own[::-1], -e, e)
+                best[t, i] = (cost, end, end - back)
     for (t, i), (cost, end, start) in sorted(best.items()):
         yield number + t, i, start, end, cost
 
@@ -203,6 +219,14 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", limit
         yield build(sorted(((r.i, r.t) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
+def _with_last(found: Iterator[Index]) -> Iterator[tuple[Index, bool]]:
+    now = next(found)
+    for after in found:
+        yield now, False
+        now = after
+    yield now, True
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start, end (characters of the text), edits.
 
@@ -220,15 +244,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                 columns += [pa.array([r[j] for r in rows], pa.int32()) for j in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "start", "end", "edits"])
 
-        return source.mapInArrow(run, f"{key} long, item_id long, start int, end int, edits int")
+        return source.mapInArrow(tidy(run), f"{key} long, item_id long, start int, end int, edits int")
 
-    return reduce(DataFrame.union, [one(index) for index in blocks(benchmark)])
+    # of several blocks each is searched for before the next one is made, so that one index at a time is held
+    parts: list[DataFrame] = []
+    for index, last in _with_last(blocks(benchmark)):
+        parts.append(one(index) if last and not parts else materialize(one(index), "leaks"))
+    return reduce(DataFrame.union, parts)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found; null and empty texts stay."""
     place = docs.columns.index(text)
-    for index in blocks(benchmark):
+    for index, last in _with_last(blocks(benchmark)):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -238,5 +266,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
                     keep[t] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
+        if not last:
+            docs = materialize(docs, "clean")
     return docs
