@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.samples import by_hash, fold
+from keyfathom.llm.samples import by_hash, fold, within
 from keyfathom.llm.textbytes import mix
+from keyfathom.llm.workers import tidy
 
 #: First code points of Unicode script ranges (fixed values), each up to the next one.
 SCRIPTS = [
@@ -36,11 +37,12 @@ _INDEX = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 8.0
-#: Training rows, and the longest text among them.
+UNKNOWN = "und"
+#: Training rows, and bytes of their texts.
 SAMPLE = 3000
-LONGEST = 20_000
-CACHE = 100_000
-CHUNK_WORDS = 600_000
+SAMPLE_BYTES = 32 << 20
+CACHE = 60_000
+CHUNK_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,7 +70,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = owner[: len(rolled)] == owner[n - 1 :]
         if n in ORDERS:
             whose.append(owner[: len(rolled)][inside])
-            bucket.append((mix(rolled[inside] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BUCKETS - 1)).astype(np.int64))
+            bucket.append((mix(rolled[inside] + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(BUCKETS - 1)).astype(np.int64))
     return np.concatenate(whose), np.concatenate(bucket), script
 
 
@@ -205,7 +207,7 @@ class Labeller:
         by = np.bincount(doc * max(k, 1) + label, letters * counted, minlength=len(texts) * max(k, 1)).reshape(len(texts), -1)
         for i, text in enumerate(texts):
             if not total[i] or not k:
-                yield "und", 0.0, [], float(total[i] > 0)
+                yield UNKNOWN, 0.0, [], float(total[i] > 0)
                 continue
             best = int(by[i].argmax()) if by[i].any() else self.model.prior
             yield self.model.languages[best], float(by[i, best] / total[i]), self._spans(text, label[ends[i] : ends[i + 1]]) if self.model.spans else [], float(by[i].sum() / total[i])
@@ -218,10 +220,14 @@ class Labeller:
         return [(found[a].start(), found[b - 1].end(), self.model.languages[label[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Fit on about ``sample`` rows outside the held-out fold with a language and at most ``longest`` characters."""
-    rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull() & (fold(key, 4) != 2) & (F.length(text) <= longest))
-    return fit((r[0], r[1]) for r in by_hash(rows.select(key, text, language), sample, key).select(text, language).toLocalIterator())
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on about ``sample`` rows outside the held-out fold with a language, of at most ``most`` bytes in all.
+
+    Null texts and languages and, as they have no fold, null ids are left out; repeated rows count as often as they
+    occur. Without rows the model has no languages."""
+    rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull() & (fold(key, 4) != 2)).select(key, text, language)
+    rows = within(by_hash(rows, sample, key), most, key, text)
+    return fit((r[0], r[1]) for r in rows.select(text, language).toLocalIterator())
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
@@ -245,7 +251,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"{key} long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -260,4 +266,4 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
             keep = [known > 0 and known >= least for *_, known in label(batch.column(place).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfathom.llm.workers import tidy
+
 STRIP = 4096
 
 
@@ -185,7 +187,7 @@ def media_tiles(df: DataFrame, column: str, height: int = 16, width: int = 16) -
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, *(n for n, _ in new)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(keep).schema), "media_height int, media_width int, tile binary, dhash string, media_error string"])
-    return df.select(*keep, F.col(column).cast("binary")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(column).cast("binary")).mapInArrow(tidy(run), schema)
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 64) -> DataFrame:
@@ -211,4 +213,4 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *names])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("binary")).mapInArrow(tidy(run), schema)

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from keyfathom.llm.samples import fold, labelled
 from keyfathom.llm.textbytes import SPACE, pieces, utf8, words
+from keyfathom.llm.workers import tidy
 
+#: Training documents, and bytes of their texts.
 SAMPLE = 8000
-LONGEST = 20_000
+SAMPLE_BYTES = 256 << 20
 BINS = 64
 TREES = 60
 DEPTH = 4
@@ -149,15 +151,19 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, pull: float = 1.0, l
     return Forest(*(np.array(part, kind) for part, kind in zip(parts, kinds, strict=True)), np.array(roots, np.int32), base)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Forest:
-    """Train on about ``sample`` documents outside the held-out fold (3, 1); only their statistics reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Forest:
+    """Train on about ``sample`` documents outside the held-out fold (3, 1), of at most ``most`` bytes in all; only
+    their statistics reach the driver.
+
+    Null texts, labels and ids are left out, an empty text trains with all statistics zero, and a repeated row as often
+    as it occurs. Without rows every score is 0.5."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, "quality", 3, 1, sample, longest).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+    rows = labelled(docs, labels, "quality", 3, 1, sample, most).select("doc_id", "label", "text").mapInArrow(tidy(run), "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return boost(x, rows.column("label").to_numpy().astype(np.int64))
 
@@ -172,5 +178,5 @@ def score(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "tex
             p = held.value.score(features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[key, "score", "predicted"])
 
-    found = docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, f"{key} long, score double, predicted int")
-    return found.withColumn("held_out", F.coalesce(fold(key, 3) == 1, F.lit(False)))
+    found = docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(tidy(run), f"{key} long, score double, predicted int")
+    return found.select(key, F.coalesce(fold(key, 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")

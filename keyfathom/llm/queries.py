@@ -14,6 +14,8 @@ from keyfathom.llm.storage import bounded_batches
 
 #: A SentencePiece model file.
 PIECES = os.environ.get("KEYFATHOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: Whether its scores are merge ranks, as a byte-pair model's are.
+RANKS = os.environ.get("KEYFATHOM_PIECE_RANKS", "1") == "1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +34,11 @@ def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
-    return found.withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode_documents(table(spark, sf_dir, "documents"), unigram.load(PIECES))
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), unigram.load(PIECES, RANKS))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"), least=suffix_dedup.WORDS)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A word's embedding is the sum of those of its hash and of the hash of its first
 compound forms share. Filters of several widths run over the embeddings of a text's words; the largest response of each filter feeds one
 logistic unit. Gradients pass only through the words at which a filter is largest, so a step touches few embeddings.
 The score's threshold is calibrated for each language group: a logistic fit on calibration rows sets slope and offset,
-so that 0.5 is the threshold everywhere. The group is read from the text, by its function words."""
+so that 0.5 is the threshold everywhere. The group is the language of the text. The learned model of ``language`` labels
+the training texts; how much more often each word occurs in one language than in the others is then a table by the same
+word hashes, and the language whose words weigh most is the text's."""
 
 from __future__ import annotations
 
@@ -16,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfathom.llm import language as languages
 from keyfathom.llm.samples import fold, labelled
 from keyfathom.llm.textbytes import NO_WORD, pieces, utf8, words
+from keyfathom.llm.workers import tidy
 
 BUCKETS = 1 << 18
 WIDTH = 8
@@ -25,21 +29,10 @@ FILTERS = 8
 SPANS = (1, 2, 3)
 PAD = max(SPANS) - 1
 PREFIX = 6
-#: Training documents and the longest of them.
+#: Training documents, and bytes of their texts.
 SAMPLE = 8000
-LONGEST = 20_000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 6
-#: Function words (fixed values) that tell language groups.
-FUNCTION_WORDS = {
-    "de": "der die und das ist nicht mit von den dem ein eine für auf sich",
-    "en": "the and of to that was with is it for this are from by be",
-    "es": "los las del una por para con que su es lo y el como más",
-    "fr": "les des est une dans pour qui du au par pas sur avec et le",
-    "it": "il di che non per una sono con gli della nel anche alla più dei",
-    "nl": "het een van niet zijn met voor aan ook maar door naar dat deze wordt",
-    "pt": "não uma com os para as mais dos como foi das ao pelo são você",
-}
-
 
 def buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets (n, 2) of words and their beginnings in runs of texts, each text followed by PAD rows of BUCKETS, and where
@@ -57,13 +50,17 @@ def buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, begin
 
 
-def _groups() -> np.ndarray:
-    """Language group of each bucket: 0 for none, else 1 + its place in FUNCTION_WORDS."""
-    table = np.zeros(BUCKETS + 1, np.int8)
-    for i, line in enumerate(FUNCTION_WORDS.values()):
-        ids = next(buckets(pa.array([line])))[0][:, 0]
-        table[ids[ids < BUCKETS]] = i + 1
-    return table
+def language_weights(ids: list[np.ndarray], languages: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Languages and, by bucket, the centred log shares of a word among each one's texts."""
+    names = sorted({x for x in languages if x is not None})
+    counts = np.full((BUCKETS + 1, max(len(names), 1)), 0.5, np.float32)
+    for own, name in zip(ids, languages, strict=True):
+        if name is not None:
+            np.add.at(counts[:, names.index(name)], np.unique(own[:, 0]), 1)
+    weights = np.log(counts / counts.sum(axis=0))
+    weights -= weights.mean(axis=1, keepdims=True)
+    weights[-1] = 0
+    return names, weights.astype(np.float32)
 
 
 @dataclass
@@ -73,8 +70,9 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     offset: float
-    groups: np.ndarray
-    slope: np.ndarray  # by group
+    languages: list[str]
+    weights: np.ndarray  # by bucket and language
+    slope: np.ndarray  # by group: none, then the languages
     shift: np.ndarray
 
 
@@ -136,22 +134,24 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
 
 
-def language_groups(table: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    n, k = len(begin) - 1, len(FUNCTION_WORDS) + 1
-    doc = np.repeat(np.arange(n), np.diff(begin))
-    seen = np.bincount(doc * k + table[ids[:, 0]], minlength=n * k).reshape(n, k)[:, 1:]
-    return np.where(seen.any(axis=1), seen.argmax(axis=1) + 1, 0)
+def language_groups(model: Model, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """0 for texts without words, or without languages to tell; else 1 + the place of the language."""
+    if not model.languages:
+        return np.zeros(len(begin) - 1, np.int64)
+    total = np.add.reduceat(model.weights[ids[:, 0]], begin[:-1], axis=0)
+    return np.where(np.diff(begin) > PAD, total.argmax(axis=1) + 1, 0)
 
 
-def train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Fit on texts as padded buckets. Every fifth text only calibrates. Without both labels every score is the prior."""
+def train(ids: list[np.ndarray], y: np.ndarray, languages: list[str | None] | None = None, seed: int = 7, epochs: int = EPOCHS) -> Model:
+    """Fit on texts as padded buckets, with their languages where known. Every fifth text only calibrates. Without both labels every score is the prior."""
     random = np.random.default_rng(seed)
     embedding = random.normal(0, 0.3, (BUCKETS + 1, WIDTH)).astype(np.float32)
     embedding[-1] = 0
     n = len(SPANS) * FILTERS
+    names, weights = language_weights(ids, languages or [None] * len(ids))
     model = Model(
         embedding, [random.normal(0, (s * WIDTH) ** -0.5, (s, WIDTH, FILTERS)).astype(np.float32) for s in SPANS], np.zeros(n, np.float32),
-        random.normal(0, 0.3, n).astype(np.float32), 0.0, _groups(), np.ones(len(FUNCTION_WORDS) + 1), np.zeros(len(FUNCTION_WORDS) + 1),
+        random.normal(0, 0.3, n).astype(np.float32), 0.0, names, weights, np.ones(len(names) + 1), np.zeros(len(names) + 1),
     )
     prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
@@ -202,7 +202,7 @@ def train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7, epochs: int = EPO
     flat = np.concatenate([ids[i] for i in np.flatnonzero(spare)]) if spare.any() else np.zeros((0, 2), np.int32)
     if len(flat):
         begin = np.concatenate(([0], np.cumsum([len(ids[i]) for i in np.flatnonzero(spare)])))
-        z, g, own = _respond(model, flat, begin).astype(float), language_groups(model.groups, flat, begin), y[spare]
+        z, g, own = _respond(model, flat, begin).astype(float), language_groups(model, flat, begin), y[spare]
         everywhere = _platt(z, own)
         for k in range(len(model.slope)):
             mine = g == k
@@ -210,34 +210,43 @@ def train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7, epochs: int = EPO
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Train on about ``sample`` documents outside the held-out fold (5, 0); only their word buckets reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, language: str = "lang") -> Model:
+    """Train on about ``sample`` documents outside the held-out fold (5, 0), of at most ``most`` bytes in all; only
+    their word buckets and predicted languages reach the driver.
+
+    Null texts, labels and ids are left out, an empty text trains as one without words, and a repeated row as often as
+    it occurs. Where ``docs`` has the column ``language`` a language model is learned from it; the texts alone decide
+    afterwards. Without rows every score is 0.5."""
+    speak = docs.sparkSession.sparkContext.broadcast(languages.train(docs, language=language) if language in docs.columns else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = languages.Labeller(speak.value) if speak.value else None
         for batch in batches:
             out = [ids[begin[i] : begin[i + 1]].tobytes() for ids, begin in buckets(batch.column(2)) for i in range(len(begin) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "label", "ids"])
+            said = [x[0] if x[0] != languages.UNKNOWN else None for x in label(batch.column(2).to_pylist())] if label else [None] * len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(said, pa.string())], names=["doc_id", "label", "ids", "language"])
 
-    rows = labelled(docs, labels, "toxic", 5, 0, sample, longest).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids binary").toArrow().sort_by("doc_id")
-    return train([np.frombuffer(x, np.int32).reshape(-1, 2) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(np.int64))
+    rows = labelled(docs, labels, "toxic", 5, 0, sample, most).select("doc_id", "label", "text").mapInArrow(tidy(run), "doc_id long, label int, ids binary, language string").toArrow().sort_by("doc_id")
+    return train([np.frombuffer(x, np.int32).reshape(-1, 2) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(np.int64), rows.column("language").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, group (of languages). Null texts count as empty, which
-    score as a text without words. Repeated rows give repeated results; other columns are ignored."""
+    """One row per document: doc_id, held_out, score, predicted, group (of languages; ``other`` for none). Null texts
+    count as empty, which score as a text without words. Repeated rows give repeated results; other columns are
+    ignored; a null id is not held out."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["other", *FUNCTION_WORDS]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
+        names = ["other", *model.languages]
         for batch in batches:
             z, g = [], []
             for ids, begin in buckets(batch.column(1)):
                 z.append(_respond(model, ids, begin))
-                g.append(language_groups(model.groups, ids, begin))
+                g.append(language_groups(model, ids, begin))
             z, g = np.concatenate(z) if z else np.zeros(0), np.concatenate(g) if g else np.zeros(0, np.int64)
             p = _logistic(model.slope[g] * z.astype(float) + model.shift[g])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([names[i] for i in g], pa.string())], names=[key, "score", "predicted", "group"])
 
-    found = docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, f"{key} long, score double, predicted int, group string")
-    return found.withColumn("held_out", F.coalesce(fold(key, 5) == 0, F.lit(False)))
+    found = docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(tidy(run), f"{key} long, score double, predicted int, group string")
+    return found.select(key, F.coalesce(fold(key, 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "group")

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with log scores.
 
-The vocabulary is read from a model file. A byte-pair model has merge ranks for scores; they become the log
-probabilities of Zipf's law. White space is marked by U+2581, a character outside the vocabulary falls back to byte
+The vocabulary is read from a model file with its scores. A byte-pair model has merge ranks instead of log scores; the
+caller says so, and they become the log probabilities of Zipf's law, log 1 / (rank + 1) less the log of the sum. White space is marked by U+2581, a character outside the vocabulary falls back to byte
 pieces, and so does a U+2581 of the text itself, which makes decoding exact for every text."""
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfathom.llm.workers import tidy
+
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Stands for a U+2581 of the text: no UTF-8 byte, so no piece holds it.
 OWN_MARK = 0xFF
-CACHE = 60_000
+CACHE = 40_000
 UNKNOWN = 10.0
 #: Bytes of new units that are segmented at once.
-STRETCH = 200_000
+STRETCH = 40_000
 
 
 @dataclass
@@ -79,13 +81,17 @@ def double_array(pieces: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarra
     return np.array(base, np.int32), np.array(check, np.int32), np.array(value, np.int32)
 
 
-def vocabulary(pieces: list[str], scores: list[float], kinds: list[str]) -> Vocabulary:
-    """From pieces, scores and kinds: ``normal``, ``byte`` (``<0xNN>``, all 256), or others that are never produced."""
+def vocabulary(pieces: list[str], scores: list[float], kinds: list[str], ranks: bool = False) -> Vocabulary:
+    """From pieces, scores and kinds: ``normal``, ``byte`` (``<0xNN>``, all 256), or others that are never produced.
+
+    With ``ranks`` the scores are merge ranks, 0 or less; without it they are log scores and taken as they are."""
     normal = [i for i, k in enumerate(kinds) if k == "normal"]
     score = np.array(scores, float)
-    ranks = -score[normal]
-    if len(normal) and (ranks == np.round(ranks)).all() and ranks.min() == 0 and ranks.max() >= len(normal) - 1:
-        score[normal] = -np.log(ranks + 1) - np.log(np.sum(1 / (np.arange(int(ranks.max()) + 1) + 1)))
+    if ranks and len(normal):
+        place = -score[normal]
+        if (place < 0).any():
+            raise ValueError("merge ranks are 0 or less")
+        score[normal] = -np.log(place + 1) - np.log(np.sum(1 / (np.arange(int(place.max()) + 1) + 1)))
     byte_ids = np.full(256, -1)
     surface = [b""] * len(pieces)
     for i, k in enumerate(kinds):
@@ -104,14 +110,14 @@ def vocabulary(pieces: list[str], scores: list[float], kinds: list[str]) -> Voca
     return Vocabulary(base, check, value, score.astype(np.float64), surface, byte_ids, float(score[normal].min() if len(normal) else 0) - UNKNOWN, longest, unit)
 
 
-def load(path: str) -> Vocabulary:
-    """Read a SentencePiece model file on the driver."""
+def load(path: str, ranks: bool = False) -> Vocabulary:
+    """Read a SentencePiece model file on the driver. ``ranks`` says that its scores are merge ranks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     kinds = ["byte" if model.is_byte(i) else "other" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "normal" for i in ids]
-    return vocabulary([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], kinds)
+    return vocabulary([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], kinds, ranks)
 
 
 def _marked(unit: str) -> bytes:
@@ -272,7 +278,7 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names=[key, *names])
 
     schema = f"{key} long, n_bytes long, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", tokens array<int>" * tokens
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def decode_documents(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -285,4 +291,4 @@ def decode_documents(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", toke
             texts = [None if ids is None else tokenizer.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(tokens)).mapInArrow(run, f"{key} long, text string")
+    return df.select(F.col(key).cast("long").alias(key), F.col(tokens)).mapInArrow(tidy(run), f"{key} long, text string")
