@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfathom.llm import decontaminate, language, ngram_join, suffix_dedup, unigram
-from keyfathom.llm.ngram_join import BROADCAST_KEYS
-from keyfathom.llm.queries import PIECES, table
-from keyfathom.llm.storage import bounded_batches, materialize
+from keyfathom.llm.queries import PIECES, RANKS, table
+from keyfathom.llm.storage import bounded_batches, drop, materialize, small
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped = near.where(~F.col("first")).select(*key).distinct()
     repeated = near.groupBy(*key).count().where("count > 1").select(*key)
     same = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["text_hash"])
-    small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    dropped, repeated = materialize(dropped, "dropped"), materialize(repeated, "repeated")
+    drop(near)
     dropped = small(dropped)
     kept = docs.join(dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
@@ -51,7 +51,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text."""
     bounded_batches(spark)
-    return unigram.encode_documents(docs, unigram.load(PIECES))
+    return unigram.encode_documents(docs, unigram.load(PIECES, RANKS))
 
 
 STAGES = [
