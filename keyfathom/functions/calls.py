@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
+from typing import Any
 
 from keyfathom.config import CallSpec
 from keyfathom.functions.strings import Segments, guards
@@ -84,6 +85,25 @@ def collect(calls: list[Call], strings: list[Segments], specs: list[CallSpec], m
     return facts
 
 
+#: A parser's step: yields the steps that it needs, gets their results, and returns its own.
+type Task[T] = Generator[Task, Any, T]
+
+
+def trampoline[T](task: Task[T]) -> T:
+    """Run a task and those that it yields on a stack of our own, which grows with the heap."""
+    stack: list[Generator] = [task]
+    value: Any = None
+    while True:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+            if not stack:
+                return value
+
+
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 
 

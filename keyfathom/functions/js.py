@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from keyfathom.config import CallSpec
-from keyfathom.functions.calls import Call, Facts, Token, arguments, brackets, collect, split_top
+from keyfathom.functions.calls import Call, Facts, Task, Token, arguments, brackets, collect, split_top, trampoline
 from keyfathom.functions.strings import Segments, unescape_js
 
 _SKIP = re.compile(r"\s+|//[^\r\n]*|/\*.*?(?:\*/|\Z)", re.S)
@@ -35,7 +35,9 @@ class _Lexer:
         self.streams: list[list[Token]] = []
         self.strings: list[Segments] = []
 
-    def code(self, at: int, stop: bool = False) -> int:
+    # Nesting is as deep as a file makes it, so each part is a task of ``trampoline``, not a call.
+
+    def code(self, at: int, stop: bool = False) -> Task[int]:
         """Tokens to the end, or to an unmatched ``}``; where the text goes on."""
         text, n = self.text, len(self.text)
         out: list[Token] = []
@@ -58,7 +60,7 @@ class _Lexer:
                 at = m.end()
             elif c == "`":
                 begin = at
-                segments, at = self.template(at + 1)
+                segments, at = yield self.template(at + 1)
                 out.append(Token("string", text[begin:at], begin, at, segments))
                 self.strings.append(segments)
             elif m := _NAME.match(text, at):
@@ -72,7 +74,7 @@ class _Lexer:
                 at = m.end()
             elif c == "<" and self.jsx and (value or last.text in ("}", ")") and text[at - 1 : at].isspace()) and _TAG.match(text, at):
                 begin = at
-                at = self.element(at)
+                at = yield self.element(at)
                 out.append(Token("other", text[begin:at], begin, at))
             else:
                 op = next((o for o in _OPS if text.startswith(o, at)), c)
@@ -83,7 +85,7 @@ class _Lexer:
                 at += len(op)
         return n
 
-    def template(self, at: int) -> tuple[Segments, int]:
+    def template(self, at: int) -> Task[tuple[Segments, int]]:
         text, n = self.text, len(self.text)
         out: Segments = []
         plain = at
@@ -100,14 +102,14 @@ class _Lexer:
                     at = plain = m.end() if m else n
                 else:
                     out.append(None)
-                    at = plain = self.code(at + 2, True)
+                    at = plain = yield self.code(at + 2, True)
             else:
                 at += 1
         if n > plain:
             out.append(text[plain:])
         return out or [""], n
 
-    def element(self, at: int) -> int:
+    def element(self, at: int) -> Task[int]:
         """A JSX element from its ``<``; where it ends."""
         text, n = self.text, len(self.text)
         at = _TAG_NAME.match(text, at + 1).end()
@@ -115,7 +117,7 @@ class _Lexer:
             if text.startswith("/>", at):
                 return at + 2
             if text[at] == "{":
-                at = self.code(at + 1, True)
+                at = yield self.code(at + 1, True)
             elif m := _ATTRIBUTE.match(text, at):
                 self.strings.append([unescape_js(m[0][1:-1])])
                 at = m.end()
@@ -127,9 +129,9 @@ class _Lexer:
                 close = text.find(">", at)
                 return n if close < 0 else close + 1
             if text[at] == "{":
-                at = self.code(at + 1, True)
+                at = yield self.code(at + 1, True)
             elif _TAG.match(text, at):
-                at = self.element(at)
+                at = yield self.element(at)
             else:
                 at += 1
         return n
@@ -158,10 +160,11 @@ def _chain_start(tokens: list[Token], last: int, pairs: dict[int, int]) -> int:
 
 
 def _receiver(text: str, tokens: list[Token], first: int, last: int) -> str:
-    end = tokens[last]
-    if end.kind == "name" and last - first >= 2 and tokens[last - 1].text in (".", "?.") and tokens[first].text != "new":
-        return f"{_receiver(text, tokens, first, last - 2)}.{end.text}"
-    return text[tokens[first].start : end.end]
+    names: list[str] = []
+    while tokens[last].kind == "name" and last - first >= 2 and tokens[last - 1].text in (".", "?.") and tokens[first].text != "new":
+        names.append(tokens[last].text)
+        last -= 2
+    return ".".join([text[tokens[first].start : tokens[last].end], *reversed(names)])
 
 
 def _value(tokens: list[Token], first: int, last: int, pairs: dict[int, int]) -> Segments:
@@ -221,6 +224,6 @@ def _calls(text: str, tokens: list[Token]) -> list[Call]:
 
 def extract(lang: str, text: str, specs: list[CallSpec], min_len: int) -> Facts:
     lexer = _Lexer(text, lang != "ts")
-    lexer.code(0)
+    trampoline(lexer.code(0))
     calls = [c for stream in lexer.streams for c in _calls(text, stream)] if specs else []
     return collect(calls, lexer.strings, specs, min_len)

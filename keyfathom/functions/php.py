@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from keyfathom.config import CallSpec
-from keyfathom.functions.calls import Call, Facts, Token, arguments, brackets, collect, split_top
+from keyfathom.functions.calls import Call, Facts, Task, Token, arguments, brackets, collect, split_top, trampoline
 from keyfathom.functions.strings import Segments, unescape_php_double, unescape_php_single
 
 _OPEN = re.compile(r"<\?(?:php\b|=)?", re.I)
@@ -41,9 +41,11 @@ class _Lexer:
     def file(self) -> None:
         at = 0
         while m := _OPEN.search(self.text, at):
-            at = self.code(m.end())
+            at = trampoline(self.code(m.end()))
 
-    def code(self, at: int, stop: str | None = None) -> int:
+    # Nesting is as deep as a file makes it, so each part is a task of ``trampoline``, not a call.
+
+    def code(self, at: int, stop: str | None = None) -> Task[int]:
         """Tokens up to ``?>``, or up to an unmatched ``stop``; where the text goes on."""
         text, n = self.text, len(self.text)
         out: list[Token] = []
@@ -66,12 +68,12 @@ class _Lexer:
                 at = m.end()
             elif c == '"' or c in "bB" and text.startswith('"', at + 1):
                 begin = at
-                segments, at = self.quoted(at + (c != '"') + 1, '"')
+                segments, at = yield self.quoted(at + (c != '"') + 1, '"')
                 out.append(Token("string", text[begin:at], begin, at, segments))
                 self.strings.append(segments)
             elif c == "`":
                 begin = at
-                _, at = self.quoted(at + 1, "`")
+                _, at = yield self.quoted(at + 1, "`")
                 out.append(Token("other", text[begin:at], begin, at))
             elif m := _HERE.match(text, at):
                 end = re.compile(rf"^[ \t]*{re.escape(m[2])}\b", re.M).search(text, m.end())
@@ -79,7 +81,7 @@ class _Lexer:
                 if m[1] != "'":
                     body = _Lexer(text[: end.start() if end else n])
                     body.streams, body.strings = self.streams, self.strings
-                    body.quoted(m.end(), "")
+                    yield body.quoted(m.end(), "")
                 out.append(Token("other", text[at:close], at, close))
                 at = close
             elif m := _VAR.match(text, at):
@@ -101,7 +103,7 @@ class _Lexer:
                 at += len(op)
         return n
 
-    def quoted(self, at: int, quote: str) -> tuple[Segments, int]:
+    def quoted(self, at: int, quote: str) -> Task[tuple[Segments, int]]:
         """Segments of an interpolated string from ``at`` to its quote (to the end for none), and where it ends."""
         text, n = self.text, len(self.text)
         out: Segments = []
@@ -126,7 +128,7 @@ class _Lexer:
             elif c == "{" and text.startswith("$", at + 1) or c == "$" and text.startswith("{", at + 1):
                 flush(at)
                 out.append(None)
-                at = plain = self.code(at + 1 + (c == "$"), "}")
+                at = plain = yield self.code(at + 1 + (c == "$"), "}")
             elif c == "$" and (m := _SIMPLE.match(text, at)):
                 flush(at)
                 out.append(None)
@@ -158,18 +160,18 @@ def _chain_start(tokens: list[Token], last: int, pairs: dict[int, int]) -> int:
 
 
 def _receiver(text: str, tokens: list[Token], first: int, last: int, pairs: dict[int, int]) -> str:
+    names: list[str] = []
+    while tokens[last].kind in ("name", "var") and last - first >= 2 and tokens[last - 1].text == "->":
+        names.append(tokens[last].text)
+        last -= 2
     end = tokens[last]
-    raw = text[tokens[first].start : end.end].lstrip("$")
-    if first == last and end.kind in ("var", "name"):
-        return end.text.lstrip("$")
-    if end.kind in ("name", "var") and last - first >= 2 and tokens[last - 1].text == "->":
-        return f"{_receiver(text, tokens, first, last - 2, pairs)}.{end.text}"
+    own = text[tokens[first].start : end.end].lstrip("$")
     if end.text == ")" and last in pairs:
         callee = pairs[last] - 1
         plain = callee >= first and tokens[callee].kind == "name" and tokens[first].text != "new"
         if plain and (callee == first or tokens[callee - 1].text in ("->", "::")):
-            return f"{tokens[callee].text}()"
-    return raw
+            own = f"{tokens[callee].text}()"
+    return ".".join([own, *reversed(names)])
 
 
 def _value(tokens: list[Token], first: int, last: int, pairs: dict[int, int]) -> Segments:

@@ -1,6 +1,7 @@
 """Usage facts of source files: (path, family, fact_type, kind, value, n).
 
-fact_type is literal, guard (with kind prefix, suffix or contains), blind (n sites) or source_literal. PHP and the
+fact_type is literal, guard (with kind prefix, suffix or contains), blind (n sites), source_literal, or error (a file
+that can't be lexed: value says why, and it has no other row). PHP and the
 JavaScript family are lexed in Arrow batches; Twig is regular expressions and stays in the JVM."""
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from keyfathom.functions import js, php
 from keyfathom.functions.calls import EXTENSIONS, FAMILY, Facts, applicable
 
 SCHEMA = "path string, family string, fact_type string, kind string, value string, n long"
+#: What counts as a quoted string in a template (fixed pattern).
 TWIG_STRING = r"""'([^'\n]*)'|"([^"\n]*)\""""
 
 
@@ -25,13 +27,20 @@ def extract_text(lang: str, text: str, specs: Sequence[CallSpec], min_len: int)
     return php.extract(text, own, min_len) if lang == "php" else js.extract(lang, text, own, min_len)
 
 
+def _rows(lang: str, text: str, specs: Sequence[CallSpec], min_len: int) -> list[tuple[str, str | None, str | None, int]]:
+    try:
+        return extract_text(lang, text, specs, min_len).rows()
+    except Exception as e:  # noqa: BLE001  whatever one file does, the others are scanned
+        return [("error", None, f"{type(e).__name__}: {e}", 1)]
+
+
 def lexed_facts(files: DataFrame, specs: Sequence[CallSpec], min_len: int) -> DataFrame:
     """Facts of ``files`` (path, lang, content) in PHP or the JavaScript family. A null content counts as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path, lang, content = (c.to_pylist() for c in batch.columns)
-            rows = [(p, FAMILY[g], *row) for p, g, text in zip(path, lang, content, strict=True) for row in extract_text(g, text or "", specs, min_len).rows()]
+            rows = [(p, FAMILY[g], *row) for p, g, text in zip(path, lang, content, strict=True) for row in _rows(g, text or "", specs, min_len)]
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["path", "family", "fact_type", "kind", "value", "n"])
 
@@ -50,12 +59,14 @@ def twig_literals(content: Column) -> Column:
 
 def twig_filter_keys(content: Column, name: str) -> Column:
     """Quoted keys to which the filter is applied directly, with repeats."""
+    # fixed pattern
     found = F.regexp_extract_all(content, F.lit(rf"(?U)['\"]([^'\"]*)['\"]\s*\|\s*{_quoted(name)}\b"), F.lit(1))
     return F.filter(found, lambda s: ~s.contains("#{"))
 
 
 def twig_filter_blind(content: Column, name: str) -> Column:
     """Uses of the filter beyond those with a key."""
+    # fixed pattern
     uses = F.regexp_count(content, F.lit(rf"(?U)\|\s*{_quoted(name)}\b"))
     return F.greatest(uses - F.size(twig_filter_keys(content, name)), F.lit(0)).cast("long")
 

@@ -99,8 +99,8 @@ def parsed(files: DataFrame) -> DataFrame:
                     if content is None:
                         raise CatalogError("the file can't be read")
                     rows += [(path, *key, None) for key in parse(content.decode("utf-8"))]
-                except (CatalogError, UnicodeDecodeError) as e:
-                    rows.append((path, None, None, None, str(e)))
+                except Exception as e:  # noqa: BLE001  whatever one catalog does is that catalog's error
+                    rows.append((path, None, None, None, str(e) if isinstance(e, CatalogError) else f"{type(e).__name__}: {e}"))
             names = ["path", "msgctxt", "msgid", "msgid_plural", "error"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=names)
 
@@ -114,5 +114,14 @@ def load(files: DataFrame) -> DataFrame:
     rows = parsed(files).persist()
     bad = rows.where(F.col("error").isNotNull()).orderBy("path").select("path", "error").first()
     if bad:
+        rows.unpersist()
         raise CatalogError(f"{bad.path}: {bad.error}")
-    return universe(rows)
+    keys = universe(rows).persist()
+    keys.count()
+    rows.unpersist()
+    return keys
+
+
+def contains_msgid(keys: DataFrame, msgid: str) -> bool:
+    """Whether any key has this text as its msgid or plural."""
+    return not keys.where((F.col("msgid") == msgid) | (F.col("msgid_plural") == msgid)).isEmpty()
