@@ -7,6 +7,7 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +30,23 @@ def patterns(dead: DataFrame, min_len: int) -> DataFrame:
 def found_patterns(content: DataFrame, wanted: DataFrame, limit: int = BLOCK) -> DataFrame:
     """Distinct ``pattern`` values that occur anywhere in ``content``, overlapping ones too; the empty one occurs always.
 
-    Each block of patterns is one automaton and one pass; a task reports a pattern once."""
+    Each block of patterns is one automaton and one pass; a task reports a pattern once. The patterns of one block go to
+    the executors as a broadcast of at most ``limit`` characters (or one pattern); of several blocks each is searched
+    for, and its patterns released, before the next one is read."""
+    spark = content.sparkSession
     distinct = wanted.select("pattern").distinct()
     total = distinct.agg(F.sum(F.char_length("pattern"))).first()[0] or 0
     blocks = max(1, -(-total // limit))
+    if blocks > 1:
+        distinct = distinct.persist()
 
-    def one(k: int) -> DataFrame:
-        own = distinct if blocks == 1 else distinct.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
-        words = [r[0] for r in own.toLocalIterator()]
-
+    def search(held: Broadcast) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = ahocorasick.Automaton()
-            for w in words:
+            for w in held.value:
                 if w:
                     tree.add_word(w, w)
-            seen = {w for w in words if not w}
+            seen = {w for w in held.value if not w}
             if len(tree):
                 tree.make_automaton()
                 for batch in batches:
@@ -52,9 +55,22 @@ def found_patterns(content: DataFrame, wanted: DataFrame, limit: int = BLOCK) ->
                             seen.update(w for _, w in tree.iter(text))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["pattern"])
 
-        return content.select("content").mapInArrow(run, "pattern string")
+        return content.select("content").mapInArrow(run, "pattern string").distinct()
 
-    return reduce(DataFrame.union, [one(k) for k in range(blocks)]).distinct()
+    found: list[DataFrame] = []
+    for k in range(blocks):
+        own = distinct if blocks == 1 else distinct.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast([r[0] for r in own.toLocalIterator()])
+        part = search(held)
+        if blocks > 1:
+            # in the folder that the cluster shares, where there is one
+            part = part.checkpoint() if spark.sparkContext.getCheckpointDir() else part.persist()
+            part.count()
+            held.unpersist()
+        found.append(part)
+    if blocks > 1:
+        distinct.unpersist()
+    return reduce(DataFrame.union, found)
 
 
 def contained_patterns(content: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Universe against usage: every key is alive (by whitelist, literal or guard), suspect or dead.
 
 All joins are equi-joins, so Catalyst broadcasts a side only where its measured size allows and shuffles on the value
-otherwise. Guards need no nested loop: a form is cut to the lengths that occur among fragments, and the pieces are
-joined to the fragments."""
+otherwise. Guards need no nested loop: a form's beginnings and ends of the lengths that occur among fragments are joined
+to them; a fragment that may lie anywhere is joined by the rarest of its grams to the forms that have it, and compared
+there. So a form has as many rows as characters, whatever the number and lengths of fragments."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["msgctxt", "msgid", "msgid_plural"]
+#: Characters of the grams by which inner fragments are found; shorter fragments are joined to all pieces of their length.
+GRAM = 4
 
 
 def universe(keys: DataFrame) -> DataFrame:
@@ -35,22 +38,41 @@ def blind_by_family(facts: DataFrame) -> DataFrame:
     return facts.where((F.col("fact_type") == "blind") & (F.col("n") > 0)).groupBy("family").agg(F.sum("n").alias("n"))
 
 
+def _pieces(text: Column, n: Column, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters of a text of n >= size."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def inner_matches(forms: DataFrame, frags: DataFrame) -> DataFrame:
+    """Distinct (form, frag) where the fragment, of GRAM characters at least, lies anywhere in the form."""
+    grams = lambda df, c: df.where(F.char_length(c) >= GRAM).select(c, F.explode(_pieces(F.col(c), F.char_length(c), F.lit(GRAM))).alias("gram"))
+    of_forms = grams(forms.select("form").distinct(), "form")
+    seen = of_forms.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no form has rules its fragment out
+    counted = grams(frags.select("frag").distinct(), "frag").join(seen, "gram", "left").fillna(0, "n")
+    rarest = counted.groupBy("frag").agg(F.min(F.struct("n", "gram")).alias("least")).where("least.n > 0").select("frag", "least.gram")
+    return of_forms.join(rarest, "gram").where(F.contains("form", "frag")).select("form", "frag")
+
+
 def guard_matches(forms: DataFrame, guards: DataFrame) -> DataFrame:
     """Distinct (form, kind, frag) where the fragment is the form's beginning, end or part. Case counts.
 
     ``guards`` has kind and frag. Lengths of fragments, one number each at most, reach every task as one row."""
     size = F.char_length("frag")
-    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, size)).alias(kind)
+    guards = guards.select("kind", "frag").distinct()
+    long = (F.col("kind") == "contains") & (size >= GRAM)
+    of = lambda kind: F.collect_set(F.when((F.col("kind") == kind) & ~long, size)).alias(kind)
     lengths = guards.agg(F.struct(of("prefix"), of("suffix"), of("contains")).alias("l")).scalar()
     form, n = F.col("form"), F.char_length("form")
     piece = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("frag"))
     fits = lambda kind: F.filter(F.col("l")[kind], lambda x: x <= n)
     starts = F.transform(fits("prefix"), lambda x: piece("prefix", F.substring(form, F.lit(1), x)))
     ends = F.transform(fits("suffix"), lambda x: piece("suffix", F.substring(form, n - x + 1, x)))
-    parts = F.flatten(F.transform(fits("contains"), lambda x: F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: piece("contains", F.substring(form, i, x)))))
+    parts = F.flatten(F.transform(fits("contains"), lambda x: F.transform(_pieces(form, n, x), lambda p: piece("contains", p))))
     cut = forms.select("form").distinct().withColumn("l", lengths)
     cut = cut.select("form", F.explode(F.array_distinct(F.concat(starts, ends, parts))).alias("p")).select("form", "p.kind", "p.frag")
-    return cut.join(guards.select("kind", "frag").distinct(), ["kind", "frag"], "left_semi")
+    short = cut.join(guards.where(~long), ["kind", "frag"], "left_semi").select("form", "kind", "frag")
+    return short.union(inner_matches(forms, guards.where(long)).select("form", F.lit("contains").alias("kind"), "frag"))
 
 
 def status(hit: dict[str, Column]) -> tuple[Column, Column]:
@@ -63,8 +85,9 @@ def classify(keys: DataFrame, facts: DataFrame, whitelist: DataFrame) -> DataFra
     """Verdicts (msgctxt, msgid, msgid_plural, status, alive_via), one per distinct key; either form may hit.
 
     ``facts`` is what ``extract_facts`` gives, ``whitelist`` has value."""
-    flag = lambda df, name: df.select("value", F.lit(name).alias("signal"))
-    signals = flag(whitelist, "whitelist").union(flag(values(facts, "literal"), "literal")).union(flag(values(facts, "source_literal"), "suspect"))
+    said = facts.where(F.col("fact_type").isin("literal", "source_literal"))
+    signals = said.select("value", F.when(F.col("fact_type") == "literal", "literal").otherwise("suspect").alias("signal"))
+    signals = signals.union(whitelist.select("value", F.lit("whitelist").alias("signal")))
     signals = signals.groupBy(F.col("value").alias("form")).agg(*[F.bool_or(F.col("signal") == s).alias(s) for s in ("whitelist", "literal", "suspect")])
     forms = key_forms(universe(keys))
     guarded = guard_matches(forms, fragments(facts)).select("form", F.lit(True).alias("guard")).distinct()
