@@ -39,10 +39,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         session = spark or SparkSession.builder.appName("keyfathom").getOrCreate()
         outcome = run(session, args.config, args.path, args.audit)
         budget = gate.resolve(args.max_dead, args.max_dead_ratio, outcome.config.output)
-        report = outcome.report()
         form = args.format or outcome.config.output.format or "text"
+        report = outcome.report(alive=form == "json")
         sys.stdout.write(render(report, budget, form, sys.stdout.isatty()))
         return gate.exit_code(len(report.dead), report.total, report.blind_total, outcome.config.output.fail_on, budget)
     except Exception as e:  # noqa: BLE001  whatever goes wrong is an operational error
         print(f"error: {e}", file=sys.stderr)
         return 2
+
+
+def entry() -> None:
+    sys.exit(main())

@@ -12,6 +12,7 @@ class ConfigError(ValueError):
     """The configuration can't be used; the message names the file or key."""
 
 
+#: Values that a configuration may name (fixed values).
 KINDS = ("function", "method", "filter", "index")
 FORMATS = ("text", "json")
 FAIL_ON = ("dead", "dead-or-blind", "never")
@@ -28,6 +29,7 @@ class CallSpec:
 
 @dataclass(frozen=True)
 class Scan:
+    # what is scanned by default (fixed values)
     po_patterns: tuple[str, ...] = ("**/*.po", "**/*.pot")
     source_extensions: tuple[str, ...] = ("php", "twig", "js", "ts", "jsx", "tsx")
     ignore_dirs: tuple[str, ...] = ("vendor", "node_modules", "cache", "var")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,8 @@ from keyfathom.sources import catalogs
 from keyfathom.sources.files import glob_regex, read_tree, texts
 
 log = logging.getLogger("keyfathom")
+#: Files that can't be lexed, in the log.
+SHOWN = 20
 
 
 @dataclass
@@ -31,18 +33,33 @@ class Outcome:
     blind: DataFrame
     facts: DataFrame
     audit: DataFrame | None = None
+    kept: list[DataFrame] = field(default_factory=list)
 
-    def report(self) -> Report:
-        """Collect everything, sorted by context (none first), msgid and plural."""
-        rows = [r.asDict() for r in self.verdicts.orderBy(F.asc_nulls_first("msgctxt"), "msgid", F.asc_nulls_first("msgid_plural")).collect()]
+    def report(self, alive: bool = True) -> Report:
+        """Collect what a report shows, sorted by context (none first), msgid and plural; the alive keys only if asked.
+
+        Releases what the scan has kept in memory."""
+        order = (F.asc_nulls_first("msgctxt"), "msgid", F.asc_nulls_first("msgid_plural"))
+        shown = self.verdicts if alive else self.verdicts.where(F.col("status") != "alive")
+        rows = [r.asDict() for r in shown.orderBy(*order).toLocalIterator()]
         of = lambda s: [r for r in rows if r["status"] == s]
-        traced = None
-        if self.audit is not None:
-            traced = [r.asDict() for r in self.audit.orderBy(F.asc_nulls_first("msgctxt"), "msgid", F.asc_nulls_first("msgid_plural")).collect()]
-        report = Report(of("dead"), of("suspect"), of("alive"), {r.family: r.n for r in self.blind.collect()}, traced)
-        log.info("%d keys: %d alive, %d suspect, %d dead; %d blind sites", report.total, len(report.alive), len(report.suspect), len(report.dead), report.blind_total)
+        counts = None if alive else self.verdicts.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "alive").alias("alive")).first().asDict()
+        traced = None if self.audit is None else [r.asDict() for r in self.audit.orderBy(*order).toLocalIterator()]
+        report = Report(of("dead"), of("suspect"), of("alive"), {r.family: r.n for r in self.blind.collect()}, traced, counts)
+        self._log(report)
+        for frame in self.kept:
+            frame.unpersist()
         return report
 
+    def _log(self, report: Report) -> None:
+        if log.isEnabledFor(logging.INFO):
+            of = lambda t: F.count_distinct(F.when(F.col("fact_type") == t, F.struct(F.coalesce("kind", F.lit("")), "value")))
+            n = self.facts.agg(of("literal").alias("literals"), of("guard").alias("guards")).first()
+            log.info("usage: %d literals, %d guards, %d blind sites", n.literals, n.guards, report.blind_total)
+            log.info("universe: %d keys, of which %d alive, %d suspect, %d dead", report.total, report.alive_total, len(report.suspect), len(report.dead))
+        for row in self.facts.where("fact_type = 'error'").select("path", "value").orderBy("path").limit(SHOWN).collect():
+            log.warning("%s can't be lexed: %s", row.path, row.value)
+
 
 def whitelist(spark: SparkSession, white: Whitelist, base: Path) -> DataFrame:
     """(value): inline keys as they are, and the trimmed lines of the file but blanks and ``#`` comments."""
@@ -74,12 +91,13 @@ def run(spark: SparkSession, config_path: str | Path, project_root: str | Path,
         glob_regex(pattern)
     keys = catalogs.load(read_tree(spark, roots, config.scan.ignore_dirs, (), config.scan.po_patterns).select(F.col("abs").alias("path"), "content"))
     sources = source_files(spark, config, roots)
+    log.info("scanning %d roots", len(roots))
     if run_audit:
         sources = sources.persist()  # read again by the audit
     facts = extract_facts(sources, config.calls, config.guard_min_len).persist()
-    verdicts = liveness.classify(keys, facts, white)
+    verdicts = liveness.classify(keys, facts, white).persist()
+    kept = [keys, facts, verdicts] + [sources] * run_audit
     audit = None
     if run_audit:
-        verdicts = verdicts.persist()
         audit = auditing.audit(verdicts.where(F.col("status") == "dead"), sources, config.guard_min_len)
-    return Outcome(config, verdicts, liveness.blind_by_family(facts), facts, audit)
+    return Outcome(config, verdicts, liveness.blind_by_family(facts), facts, audit, kept)

@@ -83,6 +83,17 @@ def _read(path: Path) -> list[Rule]:
         return []
 
 
+def _global_rules() -> list[Rule]:
+    """Of the ignore file that git applies to all repositories of a user, where it is at its usual place."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    return _read(Path(home, "git", "ignore"))
+
+
+def _repository_rules(top: Path) -> list[Rule]:
+    """Of the repository at ``top`` itself; they yield to those of the ignore files in its folders."""
+    return _read(top / ".git" / "info" / "exclude")
+
+
 def _ignored(path: str, is_dir: bool, levels: list[tuple[str, list[Rule]]]) -> bool:
     """The last rule of the nearest file that fits decides."""
     for base, rules in reversed(levels):
@@ -97,7 +108,8 @@ def walk(roots: Sequence[str | Path], ignore_dirs: Sequence[str]) -> list[tuple[
     """(root, rel, abs) of the regular files, sorted by abs and listed once.
 
     Directories named in ``ignore_dirs`` are not entered, at any depth below a root; nor are hidden entries and those
-    that ``.ignore`` files, or ``.gitignore`` files inside a git repository, exclude. Links are not followed. A root
+    that ``.ignore`` files, or inside a git repository ``.gitignore`` files, its exclude file and the user's ignore file,
+    exclude. Links are not followed. A root
     that can't be read is an error."""
     found: dict[str, tuple[str, str, str]] = {}
     skip = set(ignore_dirs)
@@ -108,6 +120,8 @@ def walk(roots: Sequence[str | Path], ignore_dirs: Sequence[str]) -> list[tuple[
         above = [real, *real.parents]
         git = next((i for i, p in enumerate(above) if (p / ".git").exists()), None)
         levels: list[tuple[str, list[Rule]]] = []
+        if git is not None and (rules := _global_rules() + _repository_rules(above[git])):
+            levels.append((os.path.relpath(above[git], real), rules))
         for i in range(len(above) - 1, 0, -1):
             rules = _read(above[i] / ".gitignore") if git is not None and i <= git else []
             rules += _read(above[i] / ".ignore")
@@ -116,7 +130,10 @@ def walk(roots: Sequence[str | Path], ignore_dirs: Sequence[str]) -> list[tuple[
         levels = [(os.path.normpath(os.path.join(root, base)), rules) for base, rules in levels]
 
         def enter(folder: str, levels: list, in_git: bool, root: str = root) -> None:
-            in_git = in_git or os.path.exists(os.path.join(folder, ".git"))
+            if not in_git and os.path.exists(os.path.join(folder, ".git")):
+                in_git = True
+                if rules := _global_rules() + _repository_rules(Path(folder)):
+                    levels = [*levels, (folder, rules)]
             rules = (_read(Path(folder, ".gitignore")) if in_git else []) + _read(Path(folder, ".ignore"))
             levels = [*levels, (folder, rules)] if rules else levels
             with os.scandir(folder) as entries:
