@@ -50,3 +50,9 @@ def exceeded_column(budget: Budget, dead: Column, total: Column) -> Column:
     if budget.ratio is None:
         return dead > (budget.count or 0)
     return (total > 0) & (dead / F.nullif(total, F.lit(0)) > budget.ratio)
+
+
+def exit_code_column(budget: Budget, dead: Column, total: Column, blind: Column, fail_on: Column) -> Column:
+    """``exit_code`` over columns of a summary."""
+    over = exceeded_column(budget, dead, total) | (fail_on == "dead-or-blind") & (blind > 0)
+    return F.when((fail_on != "never") & over, 1).otherwise(0)

@@ -61,6 +61,12 @@ class Outcome:
             log.warning("%s can't be lexed: %s", row.path, row.value)
 
 
+def white_lines(lines: DataFrame) -> DataFrame:
+    """The keys of a whitelist's lines (column value): trimmed, without blank ones and ``#`` comments."""
+    trimmed = lines.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value"))
+    return trimmed.where((F.col("value") != "") & ~F.col("value").startswith("#"))
+
+
 def whitelist(spark: SparkSession, white: Whitelist, base: Path) -> DataFrame:
     """(value): inline keys as they are, and the trimmed lines of the file but blanks and ``#`` comments."""
     inline = spark.createDataFrame([(k,) for k in white.keys], "value string")
@@ -69,8 +75,7 @@ def whitelist(spark: SparkSession, white: Whitelist, base: Path) -> DataFrame:
     path = base / white.file
     if not path.is_file():
         raise ConfigError(f"{path}: the whitelist can't be read")
-    lines = spark.read.text(path.resolve().as_uri()).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value"))
-    return inline.union(lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))).distinct()
+    return inline.union(white_lines(spark.read.text(path.resolve().as_uri()))).distinct()
 
 
 def source_files(spark: SparkSession, config: Config, roots: list[str]) -> DataFrame:

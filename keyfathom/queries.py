@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfathom.config import CallSpec
-from keyfathom.functions.strings import PLACEHOLDER, guards_of, php_single, skeleton_fragments, unescape_js, unescape_php_double
+from keyfathom.config import FAIL_ON, CallSpec, Output
+from keyfathom.functions.strings import PLACEHOLDER, decode_token, guards_of, php_single, skeleton_fragments, unescape_js, unescape_php_double, unescape_twig
 from keyfathom.operators import audit, liveness
 from keyfathom.operators.extract import extract_facts, first_match, language_of, twig_facts, twig_filter_blind, twig_filter_keys, twig_literals
-from keyfathom.operators.gate import Budget, exceeded_column
+from keyfathom.operators.gate import Budget, exceeded_column, exit_code_column, resolve
 from keyfathom.operators.liveness import KEY
+from keyfathom.plans import report
+from keyfathom.plans.engine import white_lines
+from keyfathom.sources import catalogs
+from keyfathom.sources.files import glob_regex, listed
 
 Query = Callable[[SparkSession, str], DataFrame]
 MIN_LEN = 3
@@ -55,10 +59,10 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     used = part.where("p_size <= 2").join(line.where("l_quantity > 49").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
     rows = fact(used, None, F.col("p_name"), "literal")
     rows = rows.union(fact(nation.where("n_regionkey = 1"), "prefix", F.substring("n_name", 1, 3), "guard"))
-    rows = rows.union(fact(part.where("p_size = 7 AND p_partkey % 19 = 0"), "suffix", F.expr("right(p_name, 4)"), "guard"))
+    rows = rows.union(fact(part.where("p_size = 7"), "suffix", F.expr("right(p_name, 4)"), "guard"))
     rows = rows.union(fact(part.where("p_size = 9"), "contains", F.substring("p_brand", 4, 4), "guard"))
-    rows = rows.union(fact(part.where("p_size BETWEEN 10 AND 12 AND p_partkey % 3 = 0"), None, F.col("p_name"), "source_literal"))
-    orders = _table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    rows = rows.union(fact(part.where("p_size BETWEEN 10 AND 12"), None, F.col("p_name"), "source_literal"))
+    orders = _table(spark, d, "orders")
     blind = orders.groupBy(F.when(F.col("o_orderstatus") == "O", "js").otherwise("twig").alias("family")).agg(F.count("*").alias("n"))
     return rows.union(blind.select(F.lit("t"), "family", F.lit("blind"), F.lit(None).cast("string"), F.lit(None).cast("string"), "n"))
 
@@ -70,11 +74,11 @@ def whitelist(spark: SparkSession, d: str) -> DataFrame:
 W = """lit AS (SELECT DISTINCT p_name AS value FROM part WHERE p_size <= 2 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)),
 guards AS (SELECT DISTINCT * FROM (
   SELECT 'prefix' AS kind, substr(n_name, 1, 3) AS frag FROM nation WHERE n_regionkey = 1
-  UNION ALL SELECT 'suffix', right(p_name, 4) FROM part WHERE p_size = 7 AND p_partkey % 19 = 0
+  UNION ALL SELECT 'suffix', right(p_name, 4) FROM part WHERE p_size = 7
   UNION ALL SELECT 'contains', substr(p_brand, 4, 4) FROM part WHERE p_size = 9)),
-src AS (SELECT DISTINCT p_name AS value FROM part WHERE p_size BETWEEN 10 AND 12 AND p_partkey % 3 = 0),
+src AS (SELECT DISTINCT p_name AS value FROM part WHERE p_size BETWEEN 10 AND 12),
 white AS (SELECT n_name AS value FROM nation WHERE n_regionkey = 2),
-blind AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'js' ELSE 'twig' END AS family, COUNT(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1)"""
+blind AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'js' ELSE 'twig' END AS family, COUNT(*) AS n FROM orders GROUP BY 1)"""
 FITS = "((g.kind = 'prefix' AND starts_with(f.form, g.frag)) OR (g.kind = 'suffix' AND ends_with(f.form, g.frag)) OR (g.kind = 'contains' AND contains(f.form, g.frag)))"
 V = f"""hits AS (SELECT msgctxt, msgid, msgid_plural,
     bool_or(f.form IN (SELECT value FROM white)) AS w, bool_or(f.form IN (SELECT value FROM lit)) AS l,
@@ -114,12 +118,14 @@ def _guard_sql(kind: str | None) -> str:
 def dead_anti(spark: SparkSession, d: str) -> DataFrame:
     """Dead keys as anti joins, cheap ones first."""
     facts = usage(spark, d)
-    all_keys = liveness.universe(keys(spark, d)).withColumn("id", F.xxhash64(F.to_json(F.struct(*KEY))))
-    forms = all_keys.select("id", F.explode(F.array_compact(F.array("msgid", "msgid_plural"))).alias("form"))
+    universe = liveness.universe(keys(spark, d))
+    forms = liveness.key_forms(universe)
     signals = whitelist(spark, d).union(liveness.values(facts, "literal")).union(liveness.values(facts, "source_literal"))
-    hit = forms.join(signals.select(F.col("value").alias("form")), "form", "left_semi").select("id")
-    guarded = forms.join(liveness.guard_matches(forms, liveness.fragments(facts)), "form", "left_semi").select("id")
-    return all_keys.join(hit, "id", "left_anti").join(guarded, "id", "left_anti").select(*KEY)
+    hit = forms.join(signals.select(F.col("value").alias("form")), "form", "left_semi").select(*KEY)
+    guarded = forms.join(liveness.guard_matches(forms, liveness.fragments(facts)), "form", "left_semi").select(*KEY)
+    found = hit.union(guarded).toDF(*[f"hit_{c}" for c in KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"hit_{c}")) for c in KEY]
+    return universe.join(found, same, "left_anti")
 
 
 # Virtual source files: one snippet a row, so that the facts follow from the columns.
@@ -145,11 +151,11 @@ _PHP = """CASE p_partkey % 7 WHEN 0 THEN concat('<p>it\\'s</p><?php echo i18n(\\
   ELSE concat('<?php $z = <<<EOT\\ni18n("', p_name, '")\\nEOT;\\ni18n(\\'it\\\\\\'s ', p_name, '\\');') END"""
 
 
-def _snippets(lang: str, body: str) -> Query:
+def _snippets(lang: str, body: str, specs: tuple[CallSpec, ...] = SPECS) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         part = _table(spark, d, "part").repartition(F.col("p_partkey"))
         files = part.select(F.col("p_partkey").cast("string").alias("path"), F.lit(lang).alias("lang"), F.expr(body).alias("content"))
-        return extract_facts(files, SPECS, MIN_LEN)
+        return extract_facts(files, specs, MIN_LEN)
 
     return query
 
@@ -189,9 +195,13 @@ def _twig(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spec_first_match(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as call sites against specs of which several fit one site."""
-    sites = _table(spark, d, "part").select(F.col("p_partkey").alias("site"), F.lit("method").alias("kind"), F.col("p_type").alias("name"), F.col("p_brand").alias("receiver"))
-    return first_match(sites, _table(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("ord"), F.lit("method").alias("kind"), F.col("p_type").alias("name"), F.when(F.col("p_partkey") % 5 == 0, F.lit(None)).otherwise(F.array("p_brand")).alias("receiver")))
+    """Parts as call sites against a spec for each type and brand, of which several fit one site: those of brands that
+    end in 5 take any receiver."""
+    part = _table(spark, d, "part")
+    sites = part.select(F.col("p_partkey").alias("site"), F.lit("method").alias("kind"), F.col("p_type").alias("name"), F.col("p_brand").alias("receiver"))
+    specs = part.groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("ord"))
+    receiver = F.when(~F.col("p_brand").endswith("5"), F.array("p_brand"))
+    return first_match(sites, specs.select("ord", F.lit("method").alias("kind"), F.col("p_type").alias("name"), receiver.alias("receiver")))
 
 
 def segments_to_guards(spark: SparkSession, d: str) -> DataFrame:
@@ -259,9 +269,96 @@ def budget_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exit_codes(spark: SparkSession, d: str) -> DataFrame:
-    over = exceeded_column(Budget(1_000_000), F.col("dead"), F.col("total"))
-    code = F.when(F.col("fail_on") == "never", 0).when(over, 1).when((F.col("fail_on") == "dead-or-blind") & (F.col("blind") > 0), 1).otherwise(0)
-    return liveness_summary(spark, d).select(F.explode(F.array(*map(F.lit, ("dead", "dead-or-blind", "never")))).alias("fail_on"), "dead", "total", "blind").select("fail_on", code.cast("int").alias("code"))
+    modes = F.explode(F.array(*map(F.lit, FAIL_ON))).alias("fail_on")
+    code = exit_code_column(Budget(1_000_000), F.col("dead"), F.col("total"), F.col("blind"), F.col("fail_on"))
+    return liveness_summary(spark, d).select(modes, "dead", "total", "blind").select("fail_on", code.cast("int").alias("code"))
+
+
+#: Command line and configuration, of which the command line wins as a whole.
+BUDGETS = {"default": (None, None, Output()), "configured": (None, None, Output(max_dead=40)), "count": (5, None, Output(max_dead_ratio=0.9)), "ratio": (None, 0.25, Output(max_dead=7))}
+
+
+def _with_budgets(column: Callable[[Budget], Column], name: str) -> Query:
+    """A row for each of BUDGETS, resolved."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(k).alias("budget"), column(resolve(*v)).alias(name)) for k, v in BUDGETS.items()])
+        return liveness_summary(spark, d).select(F.explode(rows).alias("r")).select("r.*")
+
+    return query
+
+
+def _budget_line(budget: Budget) -> Column:
+    @F.pandas_udf("string")
+    def line(dead, total):  # noqa: ANN001, ANN202
+        return dead.__class__([report.budget_line(int(a), int(b), budget) for a, b in zip(dead, total, strict=True)], dtype=object)
+
+    return line("dead", "total")
+
+
+def blind_lines(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def line(families, n):  # noqa: ANN001, ANN202
+        return families.__class__([report.blind_line({k: int(v) for k, v in zip(a, b, strict=True)}) for a, b in zip(families, n, strict=True)], dtype=object)
+
+    found = liveness.blind_by_family(usage(spark, d)).agg(F.collect_list("family").alias("f"), F.collect_list("n").alias("n"))
+    return found.select(line("f", "n").alias("line"))
+
+
+def display_keys(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def shown(context, msgid, plural):  # noqa: ANN001, ANN202
+        return msgid.__class__([report.display_key(dict(zip(KEY, row, strict=True))) for row in zip(context, msgid, plural, strict=True)], dtype=object)
+
+    return liveness.universe(keys(spark, d)).select(shown(*KEY).alias("shown"))
+
+
+_HEADER = """msgid ""\\nmsgstr ""\\n"Content-Type: text/plain; charset=UTF-8\\\\n"\\n\\n"""
+_CATALOG = f"""concat(CASE WHEN p_size > 1 THEN '{_HEADER}' ELSE '' END,
+  'msgctxt "', p_brand, '"\\nmsgid "', p_name, ' \\\\"q\\\\""\\n"\\\\tand on"\\nmsgstr ""\\n\\n', '#, fuzzy\\nmsgid "', p_type, '"\\nmsgstr "x"\\n\\n',
+  '#~ msgid "old"\\n#~ msgstr ""\\n\\n', 'msgid "', p_type, '"\\nmsgid_plural "', p_type, 's"\\nmsgstr[0] ""\\nmsgstr[1] ""\\n')"""
+
+
+def parsed_catalogs(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog for each part; those of size 1 lack their header."""
+    files = _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr(_CATALOG).cast("binary").alias("content"))
+    return catalogs.parsed(files).withColumn("error", F.col("error").isNotNull())
+
+
+def white_lines_of(spark: SparkSession, d: str) -> DataFrame:
+    lines = _table(spark, d, "nation").select(F.expr("CASE n_regionkey WHEN 0 THEN concat('  # ', n_name) WHEN 1 THEN concat('\\t', n_name, ' \\r') WHEN 2 THEN '  ' ELSE concat(n_name, ' #') END").alias("value"))
+    return white_lines(lines)
+
+
+GLOBS = ("**/f.{mjs,jsx}", "**/[a-m]*/f.TSX")
+
+
+def globbed(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).where(F.concat_ws("|", *[F.when(F.col("path").rlike("^" + glob_regex(g)), F.lit("1")) for g in GLOBS]) != "").select("path")
+
+
+def decoded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each language, static and dynamic ones."""
+
+    @F.pandas_udf("string")
+    def decode(lang, token):  # noqa: ANN001, ANN202
+        return token.__class__([decode_token(a, b) for a, b in zip(lang, token, strict=True)], dtype=object)
+
+    one = lambda lang, before, after: F.struct(F.lit(lang).alias("lang"), F.concat(F.lit(before), F.col("p_name"), F.lit(after)).alias("token"))
+    tokens = [one("php", "'", r"\n\''"), one("php", '"', r'\n$x"'), one("php", '"', r'\n\$x"'), one("js", "`", r"\n${x}`"), one("js", "'", r"\n\''"), one("twig", '"', '#{x}"'), one("twig", "'", r"\n\''"), one("js", "", "")]
+    rows = _table(spark, d, "part").select("p_partkey", F.posexplode(F.array(*tokens)).alias("i", "t"))
+    return rows.select("p_partkey", "i", decode("t.lang", "t.token").alias("value"))
+
+
+def has_msgid(spark: SparkSession, d: str) -> DataFrame:
+    universe = liveness.universe(keys(spark, d))
+    return spark.createDataFrame([(m, catalogs.contains_msgid(universe, m)) for m in ("FRANCE", "Brand#11", "no such key")], "msgid string, held boolean")
+
+
+#: A static call whose key is its second argument, beside a spec for its first.
+STATIC = (CallSpec("php", "method", "get", ("Lang",), 1), CallSpec("php", "method", "get", ("Other",)), CallSpec("js", "function", "t", None, 1))
+_STATIC = "concat('<?php Lang::get(\\'x\\', \\'', p_name, '\\'); Lang::get(\\'one\\'); Other::get(\\'', p_brand, '\\', $y); Lang::get($z, \\'', p_type, '_\\' . $x);')"
+_SECOND = "concat('t(v, \"', p_name, '\"); t(\"one\"); t(a, `', p_type, '_$', '{x}`); t(1, u)')"
 
 
 def _unescaped(function: Callable[[str], str]) -> Query:
@@ -290,7 +387,7 @@ QUERIES: dict[str, Query] = {
     "guard_suffix": _guard("suffix"),
     "guard_contains": _guard("contains"),
     "guard_any": _guard(None),
-    "guard_min_len": _q(lambda p: p.select(F.substring("p_name", 1, F.col("p_size") % 6).alias("frag")).where(F.char_length("frag") >= MIN_LEN).distinct(), "part"),
+    "guard_min_len": _q(lambda p: p.select(F.explode(guards_of(F.array(F.struct(F.lit(False).alias("is_hole"), F.substring("p_name", 1, F.col("p_size") % 6).alias("text"))), MIN_LEN)).alias("g")).select("g.frag").distinct(), "part"),
     "dead_anti": dead_anti,
     "classify_verdicts": verdicts,
     "classify_status_counts": lambda s, d: verdicts(s, d).groupBy("status", "alive_via").agg(F.count("*").alias("n")),
@@ -316,10 +413,21 @@ QUERIES: dict[str, Query] = {
     "dead_sorted": lambda s, d: liveness.bucket(verdicts(s, d), "dead").select(*KEY),
     "suspect_sorted": lambda s, d: liveness.bucket(verdicts(s, d), "suspect").select(*KEY),
     "traced_sorted": lambda s, d: audit_tiers(s, d).where("trace <> 'none'").orderBy(F.asc_nulls_first("msgctxt"), "msgid"),
-    "display_key": lambda s, d: liveness.universe(keys(s, d)).select(F.concat(F.when(F.col("msgctxt").isNotNull(), F.concat(F.lit("["), "msgctxt", F.lit("] "))).otherwise(""), "msgid", F.when(F.col("msgid_plural").isNotNull(), F.concat(F.lit("  / "), "msgid_plural")).otherwise("")).alias("shown")),
-    "dedup_paths": lambda s, d: _paths(s, d).union(_paths(s, d)).dropDuplicates(["path"]),
+    "display_key": display_keys,
+    "dedup_paths": lambda s, d: listed(_paths(s, d).union(_paths(s, d)), ()),
     "ext_to_lang": ext_to_lang,
-    "ignore_dirs": lambda s, d: _paths(s, d).where(~F.arrays_overlap(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), F.array(F.lit("de"), F.lit("es")))),
+    "ignore_dirs": lambda s, d: listed(_paths(s, d), ("de", "es")),
+    "glob_match": globbed,
+    "parse_catalogs": parsed_catalogs,
+    "contains_msgid": has_msgid,
+    "whitelist_lines": white_lines_of,
+    "resolve_budget": _with_budgets(lambda b: exceeded_column(b, F.col("dead"), F.col("total")), "over"),
+    "budget_line": _with_budgets(_budget_line, "line"),
+    "blind_line": blind_lines,
+    "decode_token": decoded_tokens,
+    "unescape_twig": _unescaped(unescape_twig),
+    "extract_php_static_second": _snippets("php", _STATIC, STATIC),
+    "extract_js_second": _snippets("ts", _SECOND, STATIC),
 }
 
 _VERDICTS = f"WITH {U}, {W}, {V} "
@@ -340,7 +448,7 @@ ORACLE_SQL: dict[str, str] = {
     "blind_by_family": f"WITH {W} SELECT family, n FROM blind",
     "liveness_summary": _VERDICTS + SUMMARY,
     "segments_to_guards": "SELECT p_partkey, kind, frag FROM (SELECT p_partkey, 'prefix' AS kind, p_type AS frag FROM part UNION ALL SELECT p_partkey, 'contains', substr(p_brand, 7, 2) FROM part UNION ALL SELECT p_partkey, 'contains', p_brand FROM part UNION ALL SELECT p_partkey, 'suffix', p_name FROM part) WHERE length(frag) >= 3",
-    "spec_first_match": "SELECT site, ord FROM (SELECT a.p_partkey AS site, b.p_partkey AS ord, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS r FROM part a JOIN part b ON b.p_partkey <= 40 AND a.p_type = b.p_type AND (b.p_partkey % 5 = 0 OR a.p_brand = b.p_brand)) WHERE r = 1",
+    "spec_first_match": "SELECT a.p_partkey AS site, MIN(b.ord) AS ord FROM part a JOIN (SELECT p_type, p_brand, MIN(p_partkey) AS ord FROM part GROUP BY ALL) b ON a.p_type = b.p_type AND (ends_with(b.p_brand, '5') OR a.p_brand = b.p_brand) GROUP BY 1",
     "quoted_literals": r"""SELECT page_id, substr(s, 2, length(s) - 2) AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '''([^''\n]*)''|"([^"\n]*)"')) AS s FROM pages) WHERE length(s) > 2 AND NOT contains(s, '#{')""",
     "filter_literals": "SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS value FROM part",
     "filter_blind": "SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(2 AS BIGINT) AS n FROM part",
@@ -362,5 +470,22 @@ ORACLE_SQL: dict[str, str] = {
     "display_key": f"WITH {U} SELECT CASE WHEN msgctxt IS NULL THEN '' ELSE '[' || msgctxt || '] ' END || msgid || CASE WHEN msgid_plural IS NULL THEN '' ELSE '  / ' || msgid_plural END AS shown FROM u",
     "dedup_paths": f"WITH {PATHS} SELECT DISTINCT path FROM paths",
     "ext_to_lang": f"WITH {PATHS} SELECT path, CASE lower(regexp_extract(path, '[.]([^./]*)$', 1)) WHEN 'php' THEN 'php' WHEN 'twig' THEN 'twig' WHEN 'mjs' THEN 'js' WHEN 'jsx' THEN 'jsx' WHEN 'cts' THEN 'ts' WHEN 'tsx' THEN 'tsx' END AS lang FROM paths WHERE NOT path LIKE '%.txt'",
-    "ignore_dirs": f"WITH {PATHS} SELECT path FROM paths WHERE NOT regexp_matches(path, '(^|/)(de|es)/')",
+    "glob_match": f"WITH {PATHS} SELECT path FROM paths WHERE regexp_matches(path, '(^|/)f[.](mjs|jsx)$') OR regexp_matches(path, '(^|/)[a-m].*/f[.]TSX$')",
+    "parse_catalogs": r"""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_size > 1 THEN p_brand END AS msgctxt, CASE WHEN p_size > 1 THEN p_name || ' "q"' || chr(9) || 'and on' END AS msgid, CAST(NULL AS VARCHAR) AS msgid_plural, p_size <= 1 AS error FROM part
+      UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, p_type, p_type || 's', false FROM part WHERE p_size > 1""",
+    "contains_msgid": f"WITH {U} SELECT m AS msgid, m IN (SELECT form FROM forms) AS held FROM (VALUES ('FRANCE'), ('Brand#11'), ('no such key')) t(m)",
+    "whitelist_lines": "SELECT CASE WHEN n_regionkey = 1 THEN n_name ELSE n_name || ' #' END AS value FROM nation WHERE n_regionkey NOT IN (0, 2)",
+    "resolve_budget": f"{_VERDICTS}, s AS ({SUMMARY}) SELECT unnest(['default', 'configured', 'count', 'ratio']) AS budget, unnest([dead > 0, dead > 40, dead > 5, total > 0 AND dead / total > 0.25]) AS over FROM s",
+    "budget_line": f"""{_VERDICTS}, s AS ({SUMMARY}), c AS (SELECT dead, total, unnest([40, 5]) AS most, unnest(['configured', 'count']) AS budget FROM s)
+      SELECT budget, 'Budget: ' || dead || ' / ' || most || ' dead allowed — ' || CASE WHEN dead > most THEN 'OVER by ' || (dead - most) ELSE 'within budget (' || (most - dead) || ' headroom)' END || '.' AS line FROM c
+      UNION ALL SELECT 'default', NULL UNION ALL SELECT 'ratio', 'Budget: ' || printf('%.1f', dead / total * 100) || '% / 25.0% dead ratio — ' || CASE WHEN dead / total > 0.25 THEN 'OVER' ELSE 'within budget' END || '.' FROM s""",
+    "blind_line": f"WITH {W} SELECT 'Blind spots: ' || coalesce(string_agg(family || '=' || n, ', ' ORDER BY family), 'none') AS line FROM blind",
+    "decode_token": r"""SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i, unnest([p_name || '\n' || chr(39), NULL, p_name || chr(10) || '$x', NULL, p_name || chr(10) || chr(39), NULL, p_name || '\n' || chr(39), '']) AS value FROM part""",
+    "unescape_twig": r"""SELECT p_partkey, p_name || '\n' || p_brand || '\q' || '\' || p_type AS value FROM part""",
+    "extract_php_static_second": _facts_sql("php", [
+        (0, 1, L, "NULL", "p_name"), (0, 1, L, "NULL", "p_brand"), (0, 1, G, "'prefix'", "p_type || '_'"),
+        (0, 1, S, "NULL", "'x'"), (0, 1, S, "NULL", "p_name"), (0, 1, S, "NULL", "'one'"), (0, 1, S, "NULL", "p_brand"), (0, 1, S, "NULL", "p_type || '_'"),
+    ]),
+    "extract_js_second": _facts_sql("js", [(0, 1, L, "NULL", "p_name"), (0, 1, G, "'prefix'", "p_type || '_'"), (0, 1, B, "NULL", "NULL"), (0, 1, S, "NULL", "p_name"), (0, 1, S, "NULL", "'one'")]),
+    "ignore_dirs": f"WITH {PATHS} SELECT DISTINCT path FROM paths WHERE NOT regexp_matches(path, '(^|/)(de|es)/')",
 }

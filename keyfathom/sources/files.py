@@ -205,3 +205,12 @@ def read_tree(spark: SparkSession, roots: Sequence[str | Path], ignore_dirs: Seq
 def texts(files: DataFrame) -> DataFrame:
     """``content`` as text; what is no valid UTF-8 becomes empty."""
     return files.withColumn("content", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")))
+
+
+def listed(files: DataFrame, ignore_dirs: Sequence[str]) -> DataFrame:
+    """What ``walk`` keeps of a listing (column path, ``/`` between its parts) that comes from elsewhere, as from a store
+    without folders: each path once, and none below a folder of an ignored name."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    skip = F.array(*map(F.lit, ignore_dirs)).cast("array<string>")
+    return files.where(~F.arrays_overlap(folders, skip)).dropDuplicates(["path"])
