@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfathom.llm import decontaminate, language, media, ngram_join, quality, sharding, suffix_dedup, toxicity, unigram, url_templates
+from keyfathom.llm import decontaminate, language, media, ngram_join, oracle, quality, sharding, suffix_dedup, toxicity, unigram, url_templates
 from keyfathom.llm.samples import fold
 from keyfathom.llm.storage import bounded_batches
 
@@ -51,7 +51,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents")).drop("tile")
+    return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": oracle.REPEATS, "op9_ngram_join": oracle.NEAR}

@@ -81,4 +81,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop(least, low, down, edges)
         edges, before, now = after, now, sign(after)
         if now == before:
-            return stands_for(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), edges)
+            roots = edges.select("a").distinct()
+            return stands_for(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.select("a", "a")), edges)

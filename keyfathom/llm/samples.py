@@ -29,7 +29,7 @@ def within(df: DataFrame, most: int, key: str, text: str) -> DataFrame:
     if len(chosen) == len(sizes):
         return df
     keys = df.sparkSession.createDataFrame(chosen, "k long")
-    return df.join(F.broadcast(keys), F.col(key).cast("long").eqNullSafe(F.col("k")), "left_semi")
+    return df.join(F.broadcast(keys), df[key].cast("long").eqNullSafe(keys["k"]), "left_semi")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, wanted: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:

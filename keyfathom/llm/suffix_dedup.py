@@ -366,15 +366,15 @@ def _both_marks(docs: DataFrame, length: int, least: int | None) -> DataFrame:
 
 def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, least: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left. With ``least`` also
-    n_passages and passage_bytes: the maximal runs of at least that many words that repeat, whatever their bytes (see
-    ``remove_repeats``), and the bytes they cover; they are reported, not removed.
+    n_passages: how many maximal runs of at least that many words repeat, whatever their bytes (see ``remove_repeats``);
+    they are reported, not removed.
 
     Null texts are empty ones; texts shorter than ``length`` lose nothing. Repeated rows count as separate documents,
     so both lose what they share. Other columns of ``docs`` are ignored; an empty table gives no rows."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("home", F.xxhash64("text"))
     rest, marked = _split(docs, _both_marks(docs, length, least))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "passage_bytes"] * bool(least)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages"] * bool(least)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,11 +388,11 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
                     at = b
                 kept.update(raw[at:])
                 passages = word_cuts(raw, of_words, least) if of_words else []
-                out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), len(passages), sum(b - a for a, b in passages)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), len(passages)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds[: len(names) - 1]))], names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passages long, passage_bytes long" * bool(least)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passages long" * bool(least)
     result = marked.select("doc_id", F.col("text").cast("binary").alias("text"), "marks", "word_marks").mapInArrow(tidy(run), schema)
     if rest is not None:
         zero = F.lit(0).cast("long")
