@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ CODE = 4
 CROWD = 16_000
 BATCH = 8192
 END = 256
+#: Places of one piece in a text that are merged by numpy.
+MANY = 32
 #: Bytes of one text that are hashed at once.
 STRETCH = 1 << 21
 SPANS = "array<struct<start:int,end:int>>"
@@ -323,21 +326,51 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep: int = KEEP, crowd:
 def merged(marks: list[dict], n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """Sorted disjoint byte ranges of a text of n bytes. A span is clipped to the text; one that is then shorter than
     ``length`` comes from a piece at the text's edge and covers nothing."""
-    first, last = [], []
+    cuts: list[tuple[int, int]] = []
     for mark in marks:
-        places = np.asarray(mark["places"], np.int64)
+        places = mark["places"]
         for span in mark["spans"]:
-            a, b = np.maximum(places + span["start"], 0), np.minimum(places + span["end"], n)
-            good = b - a >= length
-            first.append(a[good])
-            last.append(b[good])
-    if not first:
-        return []
-    a = np.concatenate(first)
+            start, end = span["start"], span["end"]
+            if len(places) < MANY:
+                near = [(max(0, p + start), min(n, p + end)) for p in places]
+                cuts += [(a, b) for a, b in near if b - a >= length]
+                continue
+            # of a repetitive text, whose places lie side by side
+            at = np.sort(np.asarray(places, np.int64))
+            a, b = np.maximum(at + start, 0), np.minimum(at + end, n)
+            a, b = a[b - a >= length], b[b - a >= length]
+            if len(a):
+                begins = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+                cuts += zip(a[begins].tolist(), b[np.append(begins[1:], len(a)) - 1].tolist(), strict=True)
+    return united(cuts)
+
+
+def merged_all(marks: pa.Array, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``merged`` of a column of marks at once, for texts of ``n`` bytes: text, first and end of each range, in order."""
+    text = pc.list_parent_indices(marks).to_numpy(zero_copy_only=False)
+    flat = marks.flatten()
+    places, spans = flat.field("places"), flat.field("spans")
+    of_span = pc.list_parent_indices(spans).to_numpy(zero_copy_only=False)
+    count = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first_place = np.cumsum(count) - count
+    place, span = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), spans.flatten()
+    each = count[of_span]
+    row = np.repeat(np.arange(len(of_span)), each)
+    own = of_span[row]
+    at = place[first_place[own] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)]
+    start, end = (span.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("start", "end"))
+    doc = text[own]
+    a, b = np.maximum(at + start, 0), np.minimum(at + end, n[doc])
+    good = np.flatnonzero(b - a >= length)
+    # texts one after the other, apart
+    base = np.cumsum(n + 2) - (n + 2)
+    a, b = a[good] + base[doc[good]], b[good] + base[doc[good]]
     order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(np.concatenate(last)[order])
-    begins = np.flatnonzero(np.append(True, a[1:] > b[:-1]))[: len(a)]
-    return list(zip(a[begins].tolist(), b[np.append(begins[1:], len(a)) - 1].tolist(), strict=True))
+    a, b = a[order], np.maximum.accumulate(b[order])
+    begins = np.flatnonzero(np.append(True, a[1:] > b[:-1])[: len(a)])
+    first, last = a[begins], b[np.append(begins[1:], len(a))[: len(begins)] - 1]
+    doc = np.searchsorted(base, first, side="right") - 1
+    return doc, first - base[doc], last - base[doc]
 
 
 def _split(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame | None, DataFrame]:
@@ -378,17 +411,25 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raws = [value.as_py() for value in batch.column(1)]
+            doc, first, last = merged_all(batch.column(2), np.array([len(x) for x in raws], np.int64), length)
+            begin = np.searchsorted(doc, np.arange(len(raws) + 1))
+            passages = np.zeros(len(raws), np.int64)
+            if least:
+                # a run of words from the first whole one on; the number of words is all that the text decides
+                n = [CODE * len(x.split()) if has else 0 for x, has in zip(raws, batch.column(3).is_valid().to_pylist(), strict=True)]
+                of_words, a, b = merged_all(batch.column(3), np.array(n, np.int64), CODE * least)
+                passages += np.bincount(of_words[b // CODE + -a // CODE >= least], minlength=len(raws))
             out = []
-            for value, marks, of_words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = value.as_py()
-                cuts = merged(marks or [], len(raw), length)
+            for i, raw in enumerate(raws):
+                own = slice(begin[i], begin[i + 1])
+                cuts = list(zip(first[own].tolist(), last[own].tolist(), strict=True))
                 kept, at = hashlib.sha256(), 0
                 for a, b in cuts:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                passages = word_cuts(raw, of_words, least) if of_words else []
-                out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), len(passages)))
+                out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), int(passages[i])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds[: len(names) - 1]))], names=names)
 

@@ -33,6 +33,7 @@ PREFIX = 6
 SAMPLE = 8000
 SAMPLE_BYTES = 64 << 20
 EPOCHS = 6
+NETS = 3
 
 def buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets (n, 2) of words and their beginnings in runs of texts, each text followed by PAD rows of BUCKETS, and where
@@ -210,8 +211,15 @@ def train(ids: list[np.ndarray], y: np.ndarray, languages: list[str | None] | No
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, language: str = "lang") -> Model:
-    """Train on about ``sample`` documents outside the held-out fold (5, 0), of at most ``most`` bytes in all; only
+def mean_response(models: list[Model], ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of the networks' calibrated responses to each text, and its language group."""
+    g = language_groups(models[0], ids, begin)
+    z = [m.slope[g] * _respond(m, ids, begin).astype(float) + m.shift[g] for m in models]
+    return np.mean(z, axis=0), g
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, language: str = "lang") -> list[Model]:
+    """Train NETS networks from different starts (a single one often ends with filters that miss some words) on about ``sample`` documents outside the held-out fold (5, 0), of at most ``most`` bytes in all; only
     their word buckets and predicted languages reach the driver.
 
     Null texts, labels and ids are left out, an empty text trains as one without words, and a repeated row as often as
@@ -227,25 +235,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SA
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(said, pa.string())], names=["doc_id", "label", "ids", "language"])
 
     rows = labelled(docs, labels, "toxic", 5, 0, sample, most).select("doc_id", "label", "text").mapInArrow(tidy(run), "doc_id long, label int, ids binary, language string").toArrow().sort_by("doc_id")
-    return train([np.frombuffer(x, np.int32).reshape(-1, 2) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(np.int64), rows.column("language").to_pylist())
+    ids, y, said = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(np.int64), rows.column("language").to_pylist()
+    models = [train(ids, y, said, seed) for seed in range(1, NETS + 1)]
+    for m in models[1:]:
+        m.weights = models[0].weights  # the same table
+    return models
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, models: list[Model], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, group (of languages; ``other`` for none). Null texts
     count as empty, which score as a text without words. Repeated rows give repeated results; other columns are
     ignored; a null id is not held out."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        names = ["other", *model.languages]
+        models = held.value
+        names = ["other", *models[0].languages]
         for batch in batches:
             z, g = [], []
             for ids, begin in buckets(batch.column(1)):
-                z.append(_respond(model, ids, begin))
-                g.append(language_groups(model, ids, begin))
+                for whole, part in zip((z, g), mean_response(models, ids, begin), strict=True):
+                    whole.append(part)
             z, g = np.concatenate(z) if z else np.zeros(0), np.concatenate(g) if g else np.zeros(0, np.int64)
-            p = _logistic(model.slope[g] * z.astype(float) + model.shift[g])
+            p = _logistic(z)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([names[i] for i in g], pa.string())], names=[key, "score", "predicted", "group"])
 
     found = docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(tidy(run), f"{key} long, score double, predicted int, group string")

@@ -91,7 +91,7 @@ def vocabulary(pieces: list[str], scores: list[float], kinds: list[str], ranks:
         place = -score[normal]
         if (place < 0).any():
             raise ValueError("merge ranks are 0 or less")
-        score[normal] = -np.log(place + 1) - np.log(np.sum(1 / (np.arange(int(place.max()) + 1) + 1)))
+        score[normal] = -np.log(place + 1) - np.log(np.sum(1 / (place + 1)))  # some pieces have a rank far beyond the others'
     byte_ids = np.full(256, -1)
     surface = [b""] * len(pieces)
     for i, k in enumerate(kinds):
