@@ -23,14 +23,15 @@ JS = '[[calls]]\nlang = "js"\nkind = "function"\nname = "t"\n'
 
 
 def test_every_bucket(spark, tmp_path, capsys):
-    args = project(tmp_path, ["lit", "cf_x", "bare", "mention", "orphan", "listed"], {"a.js": "t('lit'); t(`cf_${x}`); t(v); q = 'bare'; // mention", "vendor/b.js": "t('orphan')", "w.txt": "# c\n\n  listed \n"}, JS + '[whitelist]\nfile = "w.txt"\n')
+    shop = {"cart.js": "render(t('cart.empty')); show(t(`state_${order.state}`)); t(label); const icon = 'basket'; // see 'returns'", "vendor/old.js": "t('gift card')", "keep.txt": "# mailed by the shop\n\n  receipt \n"}
+    args = project(tmp_path, ["cart.empty", "state_paid", "basket", "returns", "gift card", "receipt"], shop, JS + '[whitelist]\nfile = "keep.txt"\n')
     assert main([*args, "--audit", "-f", "json"], spark) == 1
     out = capsys.readouterr().out
     assert out.endswith("}")
     got = json.loads(out)
     assert got["summary"] == {"total": 6, "alive": 3, "suspect": 1, "dead": 2, "blind": 1}
-    assert got["alive"] == [{"msgid": "cf_x", "alive_via": "guard"}, {"msgid": "listed", "alive_via": "whitelist"}, {"msgid": "lit", "alive_via": "literal"}]
-    assert got["audit"] == {"dead_total": 2, "no_trace": 1, "substring": 1, "skeleton": 0, "traced": [{"msgid": "mention", "trace": "substring"}]}
+    assert got["alive"] == [{"msgid": "cart.empty", "alive_via": "literal"}, {"msgid": "receipt", "alive_via": "whitelist"}, {"msgid": "state_paid", "alive_via": "guard"}]
+    assert got["audit"] == {"dead_total": 2, "no_trace": 1, "substring": 1, "skeleton": 0, "traced": [{"msgid": "returns", "trace": "substring"}]}
     assert got["blind"] == {"js": 1} and "budget" not in got
     assert main([*args, "--max-dead", "2"], spark) == 0
     assert "Budget: 2 / 2 dead allowed — within budget (0 headroom)." in capsys.readouterr().out
@@ -46,8 +47,8 @@ def test_errors_exit_2(spark, tmp_path, capsys):
 
 
 def test_other_convention_is_configuration(spark, tmp_path):
-    config = '[[calls]]\nlang = "php"\nkind = "method"\nname = "tr"\nreceiver = ["lang"]\n[output]\nformat = "json"\n'
-    assert main(project(tmp_path, ["a"], {"x.php": "<?php $lang->tr('a');"}, config), spark) == 0
+    config = '[[calls]]\nlang = "php"\nkind = "function"\nname = "say"\nkey_arg_index = 1\n[output]\nformat = "json"\n'
+    assert main(project(tmp_path, ["late fee"], {"fees.php": "<p><?= say($locale, 'late fee') ?></p>"}, config), spark) == 0
 
 
 def test_reports():

@@ -64,9 +64,9 @@ def test_read_tree(spark, tmp_path):
 
 def test_load_universe(spark, tmp_path):
     body = lambda *keys: HEAD + "".join(f'msgid "{k}"\nmsgstr ""\n\n' for k in keys)
-    put(tmp_path, {"fr.po": body("shared"), "x/de.po": body("shared", "only"), "es.pot": HEAD + 'msgid "1 apple"\nmsgid_plural "%d apples"\nmsgstr[0] ""\n'})
+    put(tmp_path, {"fr.po": body("greet"), "x/de.po": body("greet", "part"), "es.pot": HEAD + 'msgid "one sheep"\nmsgid_plural "%d sheep"\nmsgstr[0] ""\n'})
     read = lambda: read_tree(spark, [tmp_path], patterns=["**/*.po", "**/*.pot"]).selectExpr("abs AS path", "content")
-    assert sorted(tuple(r) for r in load(read()).fillna("-").collect()) == [("-", "1 apple", "%d apples"), ("-", "only", "-"), ("-", "shared", "-")]
+    assert sorted(tuple(r) for r in load(read()).fillna("-").collect()) == [("-", "greet", "-"), ("-", "one sheep", "%d sheep"), ("-", "part", "-")]
     put(tmp_path, {"broken.po": 'msgid "a"\nmsgstr ""\n'})
     with pytest.raises(CatalogError, match="broken.po"):
         load(read())
