@@ -24,45 +24,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them. Null, empty and blank texts and items give no rows; repeated rows as many."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each page. A null url, or one without ``://``, has empty host and path and no rule."""
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document. A null text and one without letters are ``und`` with score 0; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
     return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether decoding gives its text. Null and empty texts have none."""
     return unigram.encode_documents(table(spark, sf_dir, "documents"), unigram.load(PIECES, RANKS))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document. A null text counts as empty, which scores as a text without words."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and slot for each document, by bytes. A null text counts as empty; equal texts share a shard."""
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form, features and NPY tile of each document. Null and empty texts store a row of zeros."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings and passages take of each document. A null text counts as empty; short ones lose nothing."""
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"), least=suffix_dedup.WORDS)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and class of each document. Without words a document has none and is alone; repeated rows are one set."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document. A null text counts as empty, which has all statistics zero."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
