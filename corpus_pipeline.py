@@ -11,7 +11,9 @@ from keyfathom.llm.storage import bounded_batches, drop, materialize, small
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without known languages: no letter, or under half of the letters in words of such languages."""
+    """Drop documents without known languages: no letter, or under half of the letters in words of such languages.
+
+    A null or empty text has no letter and goes; repeated rows go or stay alike."""
     bounded_batches(spark)
     return language.keep_identified(docs, language.train(docs))
 
@@ -37,19 +39,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 400 bytes and passages of over 50 words that repeat out of the texts; n_chars is counted anew."""
+    """Cut strings of 400 bytes and passages of over 50 words that repeat out of the texts; n_chars is counted anew.
+
+    All rows stay: a null text as it is, a text that is cut away as a whole as an empty one. Repeated rows lose all they share."""
     bounded_batches(spark)
     return suffix_dedup.remove_repeats(docs, least=suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts hold none and stay."""
     bounded_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether decoding them gives the text."""
+    """Token ids of each text, and whether decoding them gives the text. Null and empty texts have none."""
     bounded_batches(spark)
     return unigram.encode_documents(docs, unigram.load(PIECES, RANKS))
 
