@@ -10,10 +10,12 @@ first n - ceil(t n) + c of either under any common order. So documents meet by t
 common ones ordered last, and those that share fewer than c tokens with any others at c = 1 + n / 10 can have no
 partner. In each of a few rounds, every document with a prefix token at which different groups still meet sends its
 point to one meeting, at one such token; meetings that grow beyond MEETING rows are salted and share a pivot. A tree over
-the meeting gives candidates, of which a forest is verified; what links is contracted into groups. Then, for each prefix
-token at which different groups are left, trees give all remaining pairs; of the token's largest group each row is in one
-tree only. So no pair is lost, and a group of n copies costs about n verifications. Equal sets are one document
-throughout. Sets are made again from the texts of candidates, so only points and names are dealt by token."""
+the meeting gives candidates, of which a forest is verified; what links is contracted into groups. A forest of the
+candidates at each prefix token where different groups are left joins those that no meeting brought together. Then trees
+give all remaining pairs at such tokens, each pair at the first of the tokens that both are known to have; of a token's
+largest group each row is in one tree only. So no pair is lost, and a group of n copies costs about n verifications. Equal
+sets are one document throughout. Sets are made again from the texts of candidates, so only points and names are dealt by
+token."""
 
 from __future__ import annotations
 
@@ -37,6 +39,8 @@ HEAD = GROUPS + PARITY_BITS // 8 + 1
 MEETING = 250
 ROUNDS = 2
 BUCKET = 4096
+#: Tokens by which a document tells where it has met another one before; a pair without a common one is told at each token.
+KNOWN = 16
 LEAF = 16
 #: Tokens in more than this share of a block of documents count as common.
 COMMON = 0.002
@@ -134,15 +138,17 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * int((y[at] == x).sum()) >= needed(len(x), len(y))
 
 
-def forest(points: np.ndarray, bits: np.ndarray, fine: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+def forest(points: np.ndarray, bits: np.ndarray, fine: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray, block: int) -> list[tuple[int, int]]:
     """Pairs of documents that the tree can't tell apart, as a forest: candidates of one another are connected, documents
-    of one label are connected from the start, and a document takes the nearest candidate of each other tree."""
+    of one label are connected from the start, and a document that asks takes the nearest candidate of each other tree."""
     label = np.unique(labels, return_inverse=True)[1]
     found: list[tuple[int, int]] = []
     tree = CountTree(points, sizes)
     for at, i in enumerate(tree.order):
+        if not asks[i]:
+            continue
         spots = tree.near(points[i], int(sizes[i]))
-        near = tree.order[spots[spots > at]]
+        near = tree.order[spots[(spots > at) | ~asks[tree.order[spots]]]]
         near = close(bits, sizes, i, near[label[near] != label[i]])
         for j in near[np.argsort(gaps(bits, i, near), kind="stable")].tolist():
             if label[i] != label[j] and closer(fine, sizes, i, j):
@@ -151,15 +157,13 @@ def forest(points: np.ndarray, bits: np.ndarray, fine: list[np.ndarray], sizes:
     return found
 
 
-def apart(points: np.ndarray, bits: np.ndarray, fine: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int]]:
+def apart(points: np.ndarray, bits: np.ndarray, fine: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
     """All pairs of different labels that the tree can't tell apart. The largest label's documents only answer, so a
-    group of copies costs as much as it has rows."""
-    kinds, which, n = np.unique(labels, return_inverse=True, return_counts=True)
-    asks = which != n.argmax()
+    group of copies costs as much as it has rows. Documents that ask are in all blocks; the first gives their pairs."""
     tree = CountTree(points, sizes)
     for i in np.flatnonzero(asks).tolist():
         near = tree.order[tree.near(points[i], int(sizes[i]))]
-        near = near[(which[near] != which[i]) & (~asks[near] | (near > i))]
+        near = near[(labels[near] != labels[i]) & (~asks[near] | ((near > i) & (block == 0)))]
         for j in close(bits, sizes, i, near).tolist():
             if closer(fine, sizes, i, j):
                 yield i, j
@@ -307,7 +311,10 @@ def _token_sets(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(pick):  # noqa: ANN001, ANN202
-    """Runs of (meeting, part, name, label, n, point) to the pairs of names (a < b) that ``pick`` gives for each run."""
+    """Runs of (meeting, part, name, label, n, point) to the pairs of names (a < b) that ``pick`` gives for each run.
+
+    All rows ask, or those that a column ``asks`` marks. With a column ``known``, some of the meetings of each name, a pair
+    that has an earlier one of them in common is left to that one."""
 
     def out(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
         rows = sorted(pairs)
@@ -321,7 +328,14 @@ def _candidates(pick):  # noqa: ANN001, ANN202
             if (labels == labels[0]).all():
                 continue
             own = group.column("point").take(pa.array(keep))
-            for i, j in pick(*points_of(own), fine_of(own), group.column("n").to_numpy()[keep], labels):
+            asks = group.column("asks").to_numpy()[keep] if "asks" in group.column_names else np.ones(len(keep), bool)
+            meeting, block = (group.column(i)[0].as_py() for i in (0, 1))
+            known: list[set[int]] = []
+            for i, j in pick(*points_of(own), fine_of(own), group.column("n").to_numpy()[keep], labels, asks, block):
+                if "known" in group.column_names:
+                    known = known or [set(k) for k in group.column("known").take(pa.array(keep)).to_pylist()]
+                    if min(known[i] & known[j], default=meeting) < meeting:
+                        continue
                 pairs.add((int(min(names[i], names[j])), int(max(names[i], names[j]))))
                 if len(pairs) >= PAIRS:
                     yield out(pairs)
@@ -367,6 +381,27 @@ def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return after
 
 
+def _dealt(meetings: DataFrame, labels: DataFrame, held: DataFrame, known: int) -> DataFrame:
+    """(token, block, name, label, n, point, asks) for the tokens at which rows of several labels meet; with ``known``,
+    also the least so many of these tokens that the name has.
+
+    A row of the label with most rows at a token goes to one block of it, any other row asks and goes to all."""
+    labelled = meetings.join(small(labels), "name")
+    split = labelled.groupBy("token", "label").agg(F.count("*").alias("n"))
+    split = split.groupBy("token").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "label")).alias("most")).where("rows > most.n")
+    blocks = F.ceil(F.col("rows") / BUCKET).cast("int")
+    split = fitting(split.select("token", blocks.alias("blocks"), F.col("most.label").alias("most")), rows_of(meetings), "split")
+    asks = F.col("label") != F.col("most")
+    own = F.array(F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    places = F.when(asks, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    left = labelled.join(split, "token").select("token", F.explode(places.cast("array<long>")).alias("block"), "name", "label", asks.alias("asks"))
+    columns = ["token", "block", "name", "label", "n", "point", "asks"]
+    if known:
+        least = meetings.join(split, "token", "left_semi").groupBy("name").agg(F.slice(F.array_sort(F.collect_set("token")), 1, known).alias("known"))
+        held, columns = held.join(least, "name"), [*columns, "known"]
+    return left.join(held, "name").select(*columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to, itself included),
     text_hash, the xxhash64 of its text, and first, whether it is the least of its group by (doc_id, text_hash), a null
@@ -428,21 +463,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         before, labels = labels, _contracted(labels, links)
         drop(before)
 
-    # pairs of different groups at any shared prefix token
-    labelled = meetings.join(small(labels), "name")
-    split = labelled.groupBy("token", "label").agg(F.count("*").alias("n"))
-    split = split.groupBy("token").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "label")).alias("most")).where("rows > most.n")
-    blocks = F.ceil(F.col("rows") / BUCKET).cast("int")
-    split = fitting(split.select("token", blocks.alias("blocks"), F.col("most.label").alias("most")), rows_of(meetings), "split")
-    # a row of the label with most rows goes to one block, any other row to all
-    own = F.array(F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    places = F.when(F.col("label") == F.col("most"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = labelled.join(split, "token").select("token", F.explode(places.cast("array<long>")).alias("block"), "name", "label")
-    left = left.join(held, "name").select("token", "block", "name", "label", "n", "point")
-    pairs = left.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(tidy(_candidates(apart)), kinds)
-    pairs = materialize(pairs.distinct(), "pairs")
-    labels = _contracted(labels, _verified(docs, home, pairs))
-    drop(pairs, meetings, held, home)
+    # at any shared prefix token, first what links the groups there, then all pairs of different groups
+    for pick in (forest, apart):
+        left = _dealt(meetings, labels, held, KNOWN if pick is apart else 0)
+        pairs = left.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(tidy(_candidates(pick)), kinds)
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            drop(pairs)
+            break
+        before, labels = labels, _contracted(labels, _verified(docs, home, pairs))
+        drop(pairs, before)
+    drop(meetings, held, home)
 
     # the least row of each group of more than one row
     names = sets.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("rows"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "home")).alias("least"))

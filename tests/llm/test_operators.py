@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,6 +105,37 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert got(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == linked(rows)
 
 
+def test_near_copies_make_few_candidates(spark, monkeypatch):
+    """A group of near copies that its meetings leave in parts: candidates grow with its rows, not their pairs."""
+    base = words(130, 140)
+    rows = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(140)]
+    made, real = spark.sparkContext.accumulator(0), ngram_join._candidates
+
+    def counted(pick):
+        def run(batches, inner=real(pick)):
+            for batch in inner(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == linked(rows)
+    assert 100 < made.value < 10 * len(rows)
+
+
+def test_pairs_are_left_to_the_first_known_meeting():
+    """Three unlike labels at two tokens, whose rows know both, one, or neither of them."""
+    sets = [np.arange(1, 20, dtype=np.uint64) * np.uint64(1 << 40)] * 3
+    rows = [(t, 0, k, k, 19, ngram_join.point(s), True, known) for t in (-7, 5) for k, (s, known) in enumerate(zip(sets, ([-7, 5], [-7], [5]), strict=True))]
+    names = ["token", "block", "name", "label", "n", "point", "asks", "known"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows if r[0] == t]) for t in (-7, 5)]
+    found = [[tuple(r.values()) for b in ngram_join._candidates(ngram_join.apart)([batch]) for r in b.to_pylist()] for batch in batches]
+    assert found == [[(0, 1), (0, 2), (1, 2)], [(0, 2), (1, 2)]]
+
+
 @given(st.lists(st.lists(st.integers(0, 400), min_size=1, max_size=60, unique=True), min_size=2, max_size=40))
 @settings(max_examples=25, deadline=None)
 def test_count_tree_misses_nothing(lists):
